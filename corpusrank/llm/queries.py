@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, packing, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,11 +16,50 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document: 3-word shingles, links at 2 or fewer bits."""
-    from .simhash import hex16, near_classes
+    found = simhash.near_classes(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
-    found = near_classes(table(spark, sf_dir, "documents"), words=3, radius=2)
-    return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes that they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), ranks)
+    decoded = bpe.bpe_decode(encoded, ranks)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return decoded.select(F.col("row").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("bytes"), 256).alias("decoded_sha256"))
 
-QUERIES: dict[str, Query] = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
-SQL: dict[str, str] = {}
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products for each vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s
+)
+SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 10
+"""
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces and their places in sequences of 2048 ids."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(F.col("row").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
+QUERIES: dict[str, Query] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_exact_topk": op4_exact_topk,
+    "op8_packing": op8_packing,
+}
+SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
