@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, topk
+from . import bpe, fingerprint, langid, packing, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("row", "doc_id")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,6 +55,13 @@ SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 1
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by code length."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces and their places in sequences of 2048 ids."""
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -58,8 +70,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_topk": op4_exact_topk,
+    "op6_language_id": op6_language_id,
     "op8_packing": op8_packing,
 }
 SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
