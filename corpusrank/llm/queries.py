@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, packing, pii, simhash, topk
+from . import bpe, chat, fingerprint, html_text, langid, licenses, packing, pii, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,11 @@ SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 1
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence text, header and notice in the documents."""
+    return licenses.scan_licences(table(spark, sf_dir, "documents")).withColumnRenamed("row", "doc_id")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, by code length."""
     docs = table(spark, sf_dir, "documents")
@@ -62,12 +67,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's repair and what it adds to its rendered conversation."""
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces and their places in sequences of 2048 ids."""
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select(F.col("row").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, laid out."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digest of the base formats, and all spans."""
     found = pii.find_pii(table(spark, sf_dir, "documents")).drop("redacted")
@@ -86,8 +101,11 @@ QUERIES: dict[str, Query] = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_topk": op4_exact_topk,
+    "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
+    "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
+    "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
 }
-SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
+SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL, "op5_license_scan": licenses.scan_sql()}
