@@ -6,9 +6,12 @@ Groups are drawn from row numbers, not from keys or sources, so that no hot valu
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -22,10 +25,24 @@ from .common import ragged, text_chunks
 CAPACITY = 2048
 #: Documents of a group, on average.
 GROUP = 4096
-KNOWN = 1 << 18
+KNOWN = 1 << 20
 EOS = 1
 
 
+#: Letters whose lower case depends on what follows or has several letters.
+ODD = re.compile("[Σİ]")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The characters that byte-level tokenizers use for bytes: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = (b for b in range(256) if b not in plain)
+    return {b: chr(0x100 + k) for k, b in enumerate(other)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class TournamentTree:
     """Leaves are the bins' free capacities, an inner node holds the larger of its two; finds the leftmost bin with room."""
 
@@ -64,41 +81,101 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
     return bins, offsets
 
 
+class _Growing:
+    """An array that is appended to."""
+
+    def __init__(self, dtype: type) -> None:
+        self.data, self.used = np.zeros(1024, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        to = self.used + len(values)
+        if to > len(self.data):
+            self.data = np.r_[self.data, np.zeros(max(to, len(self.data)), self.data.dtype)]
+        self.data[self.used : to] = values
+        self.used = to
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and never merges across it; remembers words, a bounded number."""
 
     def __init__(self, tokenizer: str) -> None:
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.marks = {m: self.tokenizer.encode(m.decode(), add_special_tokens=False).ids for m in (b",", b".")}
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.flat = _Growing(np.int64), _Growing(np.int32), _Growing(np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text.  Cutting at ASCII white space first changes nothing: no pattern, mark or merge crosses it."""
+        """Ids of each text.
+
+        Cutting at ASCII white space first changes nothing: no pattern, mark or merge crosses it.  Nor does lower-casing
+        A-Z, which the tokenizer does itself, unless a special token's name ("<|...|>") could come about.
+        """
         if len(self.known) > KNOWN:
             self.forget()
         words, counts = [], []
         for t in texts:
-            w = t.encode("utf-8", "surrogatepass").split()
+            raw = t.encode("utf-8", "surrogatepass")
+            w = (raw if b"<|" in raw else raw.lower()).split()
             words += w
             counts.append(len(w))
         codes = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(codes < 0)
         if len(missing):
-            new = list(dict.fromkeys([words[i] for i in missing.tolist()]))
-            ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+            lost = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(lost))
+            ids = self._ids(new)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
-            self.sizes, self.flat = np.r_[self.sizes, sizes], np.concatenate([self.flat, *ids])
+            self.starts.extend(self.flat.used + np.cumsum(sizes) - sizes)
+            self.sizes.extend(sizes)
+            self.flat.extend(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            codes[missing] = [self.known[words[i]] for i in missing.tolist()]
-        ids = self.flat[ragged(self.starts[codes], self.sizes[codes])]
-        upto = np.r_[0, np.cumsum(self.sizes[codes])][np.cumsum(counts, dtype=np.int64)]
+            codes[missing] = np.fromiter(map(self.known.__getitem__, lost), np.int64, len(lost))
+        lengths = self.sizes.data[codes]
+        ids = self.flat.data[ragged(self.starts.data[codes], lengths)]
+        upto = np.r_[0, np.cumsum(lengths, dtype=np.int64)][np.cumsum(counts, dtype=np.int64)]
         return np.split(ids, upto[:-1]) if len(texts) else []
 
 
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of distinct words.
+
+        A word of letters alone is one piece, so the tokenizer's merges are asked for it directly; a comma or full stop
+        after it is a piece of its own.  All other words go through the whole tokenizer.
+        """
+        merges, out, rest = self.tokenizer.model.tokenize, [], []
+        for k, word in enumerate(words):
+            mark = word[-1:] if word.endswith((b",", b".")) else b""
+            letters = word[:-1] if mark else word
+            if letters.isalpha():
+                own = letters.lower().decode()
+            else:
+                text = letters.decode("utf-8", "replace")
+                own = text.lower().encode().decode("latin-1").translate(BYTE_CHARS) if text.isalpha() and is_normalized("NFC", text) and not ODD.search(text) else ""
+            if own:
+                out.append([t.id for t in merges(own)] + (self.marks[mark] if mark else []))
+            else:
+                out.append([])
+                rest.append(k)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
+
+_ENCODERS: dict[int, WordEncoder] = {}
+
+
+def _encoder(tokenizer: str) -> WordEncoder:
+    """One for each Python worker, so that words stay known between tasks; tasks are the unit of parallelism."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    key = hash(tokenizer)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(tokenizer)
+    return _ENCODERS[key]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text", row: str = "doc_id") -> DataFrame:
     """(row, start, length, crc, tokens, uid): each document's ids and the end id 1, cut into pieces of ``capacity`` at most.
 
@@ -108,7 +185,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # the vocabulary: a size that data does not change
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(shared.value)
+        encoder = _encoder(shared.value)
         for part, texts in text_chunks(batches):
             which, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(encoder.encode(texts)):
