@@ -101,6 +101,21 @@ def hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         settle(labels)
 
 
+def span(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Like ``hook``; returns which of the pairs made the unions, at most one for each that was left to make."""
+    used, left = [np.zeros(0, np.int64)], np.arange(len(a))
+    while True:
+        x, y = labels[a[left]], labels[b[left]]
+        apart = x != y
+        left, high, low = left[apart], np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+        if not len(left):
+            return np.concatenate(used)
+        own, first = np.unique(high, return_index=True)
+        labels[own] = low[first]
+        settle(labels)
+        used.append(left[first])
+
+
 def settle(labels: np.ndarray) -> None:
     while not np.array_equal(deeper := labels[labels], labels):
         labels[:] = deeper

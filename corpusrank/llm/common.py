@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,37 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", chars:
         yield batch.slice(start), texts[start:]
 
 
+def kept_columns(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:
+    """(struct ``kept`` of the columns to keep, text) for a Python stage, with the struct's type; the text is not sent twice."""
+    kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    out = df.select(kept.alias("kept"), F.lit(None).cast("string").alias("text") if _is_text(df, keep, text) else F.col(text).cast("string").alias("text"))
+    return out, out.schema["kept"].dataType.simpleString()
+
+
+def _is_text(df: DataFrame, keep: list[str], text: str) -> bool:
+    return text in keep and df.schema[text].dataType.simpleString() == "string"
+
+
+def kept_texts(df: DataFrame, keep: list[str], text: str, chars: int = 1 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.Array, list[str | None]]]]:
+    """Reads what ``kept_columns`` made: slices of the kept structs and their texts (null as None)."""
+    at = keep.index(text) if _is_text(df, keep, text) else None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+        for batch in batches:
+            kept = batch.column("kept")
+            texts = kept.field(at) if at is not None else batch.column("text")
+            own = pa.RecordBatch.from_arrays([kept, texts], names=["kept", "text"])
+            for part, _ in text_chunks(iter([own]), chars=chars):
+                yield part.column("kept"), part.column("text").to_pylist()
+
+    return read
+
+
+def unkept(df: DataFrame, keep: list[str], *others: str) -> DataFrame:
+    """The kept columns under their names again, and the others."""
+    return df.select(*[F.col("kept")[f"c{i}"].alias(c) for i, c in enumerate(keep)], *others)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices that read the spans ``starts[i] : starts[i] + lengths[i]`` one after another."""
     lengths = np.asarray(lengths, np.int64)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import kept_columns, kept_texts, unkept
 
 _MARKUP = re.compile(
     r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))"
@@ -438,11 +438,12 @@ def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None =
     empty result.
     """
     keep = keep or ["page_id"]
-    given = pages.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(html).cast("string").alias("text"))
-    schema = given.select("kept").schema.simpleString().removeprefix("struct<kept:").removesuffix(">")
+    given, schema = kept_columns(pages, keep, html)
+    read = kept_texts(pages, keep, html)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(map(render, texts), pa.string())], names=["kept", "text"])
+        for kept, sources in read(batches):
+            yield pa.RecordBatch.from_arrays([kept, pa.array(map(render, sources), pa.string())], names=["kept", "visible"])
 
-    return given.mapInArrow(run, f"kept {schema}, text string").select(*[F.col("kept")[c].alias(c) for c in keep], "text")
+    found = given.mapInArrow(run, f"kept {schema}, visible string")
+    return unkept(found, keep, F.col("visible").alias("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, text_chunks
+from .common import kept_columns, kept_texts, ragged, unkept
 from .hashindex import HashIndex
 
 ORDER = 4
@@ -154,17 +154,16 @@ def identify(docs: DataFrame, model: ContextTrees, text: str = "text", keep: lis
     """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-    given = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(text).cast("string").alias("text"))
-    schema = given.select("kept").schema.simpleString().removeprefix("struct<kept:").removesuffix(">")
+    given, schema = kept_columns(docs, keep, text)
+    read = kept_texts(docs, keep, text, chars=1 << 18)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _ in text_chunks(batches, chars=1 << 18):
-            got = predict_texts(shared.value, part.column("text").to_pylist())
-            lang, score, bits = zip(*got, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(lang), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=["kept", "lang_pred", "score", "bits_per_byte"])
+        for kept, texts in read(batches):
+            lang, score, bits = zip(*predict_texts(shared.value, texts), strict=True)
+            yield pa.RecordBatch.from_arrays([kept, pa.array(lang), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=["kept", "lang_pred", "score", "bits_per_byte"])
 
     found = given.mapInArrow(run, f"kept {schema}, lang_pred string, score double, bits_per_byte double")
-    return found.select(*[F.col("kept")[c].alias(c) for c in keep], "lang_pred", "score", "bits_per_byte")
+    return unkept(found, keep, "lang_pred", "score", "bits_per_byte")
 
 
 def accepted(lang_pred: str = "lang_pred", bits: str = "bits_per_byte") -> Column:

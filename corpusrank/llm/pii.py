@@ -19,10 +19,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .common import text_chunks
+from .common import kept_columns, kept_texts, unkept
 
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES, SEED, PRECISION = 6000, 7, 0.98
@@ -245,22 +244,20 @@ def find_pii(docs: DataFrame, model: BoostedTrees | None = None, text: str = "te
     """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model or train())  # a few dozen small trees
-    given = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(text).cast("string").alias("text"))
-    schema = given.select("kept").schema.simpleString().removeprefix("struct<kept:").removesuffix(">")
+    given, schema = kept_columns(docs, keep, text)
+    read = kept_texts(docs, keep, text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _ in text_chunks(batches):
+        for kept, texts in read(batches):
             bases, spans, clean = [], [], []
-            for t in part.column("text").to_pylist():
+            for t in texts:
                 base, every = all_spans(t or "", shared.value)
                 bases.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in base])
                 spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in every])
                 clean.append(redact(t, every) if every else t)
-            yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(bases, kind), pa.array(spans, kind), pa.array(clean, pa.string())], names=["kept", "base", "spans", "redacted"])
+            yield pa.RecordBatch.from_arrays([kept, pa.array(bases, kind), pa.array(spans, kind), pa.array(clean, pa.string())], names=["kept", "base", "spans", "redacted"])
 
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     found = given.mapInArrow(run, f"kept {schema}, base {span}, spans {span}, redacted string")
-    return found.select(*[F.col("kept")[c].alias(c) for c in keep], "base", "spans", "redacted")
-
-
+    return unkept(found, keep, "base", "spans", "redacted")

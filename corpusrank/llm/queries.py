@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, chat, fingerprint, html_text, langid, licenses, packing, pii, simhash, topk
 from .common import table
 
@@ -97,6 +99,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "pipeline": corpus_pipeline.run,
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_byte_bpe": op3_byte_bpe,
@@ -108,4 +111,4 @@ QUERIES: dict[str, Query] = {
     "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
 }
-SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL, "op5_license_scan": licenses.scan_sql()}
+SQL: dict[str, str] = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {"op4_exact_topk": OP4_SQL, "op5_license_scan": licenses.scan_sql()}

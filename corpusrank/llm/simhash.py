@@ -8,7 +8,8 @@ Two ways to find what to compare are offered.
   bucket.  No bucket is capped and no link is lost.
 * ``near_duplicates`` serves shingle similarity (five words, 0.8 or more), where fingerprints may differ in many bits.
   Buckets are four min-wise shingle hashes (a pair of similarity 0.8 misses all four with probability 0.0016), the
-  bit-sliced comparison with a wide radius leaves candidates, and a 256-slot sketch estimates their similarity.
+  bit-sliced comparison with a wide radius leaves candidates, a 256-slot sketch estimates their similarity, and pairs
+  whose estimate is near the threshold are settled by their shingles.
 
 Inside a bucket only a spanning forest of the links leaves the task, so copies are never expanded into pairs.
 """
@@ -37,6 +38,8 @@ PERMUTE = tuple((0x9E3779B97F4A7C15 * (2 * k + 3)) % (1 << 64) | 1 for k in rang
 HOT = 4096
 #: Similarity 0.8 is 27 degrees between shingle sets, 9.7 of 64 bits on average; 18 is about three deviations more.
 WIDE = 18
+#: Three deviations of a sketch's estimate: pairs this near to the threshold are checked exactly.
+DOUBT = 0.07
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -122,7 +125,7 @@ def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("fp", F.explode(keys).alias("k")).select("k.m", "k.key", "fp")
 
 
-def bucket_links(rows: DataFrame, link: Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray]], schema: str = "a long, b long") -> DataFrame:
+def bucket_links(rows: DataFrame, link: Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, ...]], gives: tuple[str, ...] = ("a", "b")) -> DataFrame:
     """Run ``link`` over whole buckets: rows are dealt by (m, key) and sorted; ``link`` gets columns and bucket ends of many buckets at once.
 
     Buckets are cut at ``HOT`` rows before this, so that a task holds a bounded number of rows of one bucket.
@@ -141,8 +144,7 @@ def bucket_links(rows: DataFrame, link: Callable[[dict[str, np.ndarray], np.ndar
         change = np.flatnonzero((cols["m"][1:] != cols["m"][:-1]) | (cols["key"][1:] != cols["key"][:-1])) + 1
         edges = np.r_[0, change, len(cols["m"])]
         ends = np.repeat(edges[1:], np.diff(edges))
-        a, b = link(cols, ends)
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in link(cols, ends)], names=list(gives))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -162,7 +164,7 @@ def bucket_links(rows: DataFrame, link: Callable[[dict[str, np.ndarray], np.ndar
         if held:
             yield solve(held)
 
-    return rows.repartition("m", "key").sortWithinPartitions("m", "key").mapInArrow(run, schema)
+    return rows.repartition("m", "key").sortWithinPartitions("m", "key").mapInArrow(run, ", ".join(f"{g} long" for g in gives))
 
 
 def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,37 +251,81 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(1) / np.maximum(used, 1)
 
 
+def _likely_forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, sure): pairs that join the rows of a task's buckets, those of the highest estimates.
+
+    Estimates of at least similarity + ``DOUBT`` are sure.  Pairs down to similarity - ``DOUBT`` are left to an exact
+    check, as a spanning forest that prefers high estimates; it is thinned whenever many have gathered.
+    """
+    labels, sure, doubtful = np.arange(n), [], np.zeros((3, 0))
+
+    def thin(found: np.ndarray) -> np.ndarray:
+        own, kept = labels.copy(), []
+        levels = np.floor(found[2] * 100).astype(int)
+        for level in sorted(set(levels.tolist()), reverse=True):
+            some = found[:, levels == level]
+            kept.append(some[:, bitslice.span(own, some[0].astype(np.int64), some[1].astype(np.int64))])
+        return np.concatenate([found[:, :0], *kept], axis=1)
+
+    for i, j in pairs:
+        for at in range(0, len(i), 1 << 14):
+            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            apart = labels[x] != labels[y]
+            x, y = x[apart], y[apart]
+            score = likeness(sketches[x], sketches[y])
+            certain = score >= similarity + DOUBT
+            used = bitslice.span(labels, x[certain], y[certain])
+            sure.append(np.stack([x[certain][used], y[certain][used]]))
+            maybe = ~certain & (score >= similarity - DOUBT)
+            doubtful = np.concatenate([doubtful, np.stack([x[maybe], y[maybe], score[maybe]])], axis=1)
+            if doubtful.shape[1] > 1 << 18:
+                doubtful = thin(doubtful)
+    doubtful = thin(doubtful)[:2].astype(np.int64)
+    made = np.concatenate([np.zeros((2, 0), np.int64), *sure], axis=1)
+    both = np.concatenate([made, doubtful], axis=1)
+    return both[0], both[1], np.arange(both.shape[1]) < made.shape[1]
+
+
+def _exact(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, text: str, row: str) -> DataFrame:
+    """Those of the (a, b) row pairs whose distinct shingles have at least the similarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches):
+            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.list_(pa.int64()))], names=["row", "hashes"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts = docs.select(F.col(row).cast("long").alias("row"), F.col(text).cast("string").alias("text")).join(ends, "row", "left_semi")
+    hashed = texts.mapInArrow(sets, "row long, hashes array<long>")
+    joined = pairs.join(hashed.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(hashed.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return joined.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", row: str = "row", hot: int = HOT) -> DataFrame:
     """(row, component): classes of rows whose word shingles are similar; ``component`` is the smallest row of the class.
 
     ``row`` must name every row differently.  Rows of equal words (letter case and spacing aside) are always in one
     class, so all null and blank texts are.  Others meet in buckets of a min-wise hash, are compared bit-sliced within
-    ``WIDE`` bits, and link if their sketches estimate ``similarity`` (the estimate deviates by 0.025 at 256 slots).
-    A bucket over ``hot`` distinct texts is dealt into tiles; each tile keeps the root of every class it finds for the
-    next round, until the bucket fits.  Two texts of a hot bucket that are similar to each other but to neither root
-    can so be missed there; they still meet in their other three buckets.
+    ``WIDE`` bits, and link if their sketches estimate a similarity well above the threshold, or about it and the
+    shingles themselves, read again for such pairs, reach it.
+    A bucket over ``hot`` distinct texts is dealt into tiles; each tile keeps the root of every class it is sure of for
+    the next round, until the bucket fits.  Two texts of a hot bucket that are similar to each other but to neither
+    root can so be missed there; they still meet in their other three buckets.
     """
     rows = checkpoint(signatures(docs, words, text, row))
     texts = checkpoint(rows.groupBy("same").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("fp", *(f"k{i}" for i in range(KEYS)), "sketch")]))
 
-    def link(cols: dict[str, np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fp, sk = cols["fp"].view(np.uint64), cols["sketch"]
-
-        def alike() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for i, j in bitslice.near_pairs(fp, ends, WIDE):
-                for at in range(0, len(i), 1 << 14):
-                    x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                    ok = likeness(sk[x], sk[y]) >= similarity
-                    yield x[ok], y[ok]
-
-        child, root = _forest(len(fp), alike())
-        return cols["node"][child], cols["node"][root]
+    def link(cols: dict[str, np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        i, j, sure = _likely_forest(len(ends), bitslice.near_pairs(cols["fp"].view(np.uint64), ends, WIDE), cols["sketch"], similarity)
+        node = cols["node"]
+        return np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), sure.astype(np.int64)
 
     keys = F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"k{i}").alias("key")) for i in range(KEYS)])
     keyed = texts.select("node", "fp", "sketch", F.explode(keys).alias("k")).select("k.m", "k.key", "node", "fp", "sketch")
     sizes = checkpoint(keyed.groupBy("m", "key").count().where("count > 1"))
     shared = keyed.join(sizes.where(F.col("count") <= hot), ["m", "key"]).drop("count")
-    found = bucket_links(shared, link)
+    found = bucket_links(shared, link, ("a", "b", "sure"))
     crowded = sizes.where(F.col("count") > hot)
     waiting = None if crowded.isEmpty() else keyed.join(crowded, ["m", "key"]).drop("count")
     turn = 0
@@ -287,18 +333,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
         counts = waiting.groupBy("m", "key").agg(F.ceil(F.count("*") / F.lit(hot // 2)).alias("tiles"))
         tiled = waiting.join(counts, ["m", "key"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("tiles")))
         own = tiled.select("m", F.xxhash64("m", "key", "tile").alias("key"), "node", "fp", "sketch")
-        links = checkpoint(bucket_links(own, link))
+        links = checkpoint(bucket_links(own, link, ("a", "b", "sure")))
         found = found.unionByName(links)
         last = counts.agg(F.max("tiles")).first()[0] == 1
         before = waiting.count()
-        waiting = checkpoint(waiting.join(links.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select("m", "key", "node", "fp", "sketch"))
+        waiting = checkpoint(waiting.join(links.where("sure = 1").select(F.col("a").alias("node")).distinct(), "node", "left_anti").select("m", "key", "node", "fp", "sketch"))
         turn += 1
         if last:
             break
         if waiting.count() > 0.9 * before:  # hardly a link in these tiles: the bucket holds texts that differ, of which each pair of tiles must meet
-            found = found.unionByName(bucket_links(_tile_pairs(waiting, hot), link))
+            found = found.unionByName(bucket_links(_tile_pairs(waiting, hot), link, ("a", "b", "sure")))
             break
-    classes = connected_components(found)
+    found = checkpoint(found.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    checked = _exact(docs, found.where("sure = 0").select("a", "b"), words, similarity, text, row)
+    classes = connected_components(found.where("sure = 1").select("a", "b").unionByName(checked))
     named = texts.select("same", "node").join(classes, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     return rows.select("row", "same").join(named, "same").select("row", "component")
 
