@@ -1,10 +1,404 @@
-"""Named queries over the test tables, one for each operator, and DuckDB SQL for the same rows."""
+"""Named queries over the test tables, one for each operator; ``oracles`` has DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from ..functions import text, urls
+from ..functions.html import extract_page
+from ..functions.stem import porter_stem
+from ..operators import dedup, graph, index, links, rank
+from ..sources.pages import documents_table, pages_table
+from . import oracles
+from .config import BuildConfig, RankConfig
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SIMPLE = BuildConfig(analyzer="simple")
+
+
+def query(f: Query) -> Query:
+    """Register a query under its function's name."""
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with their unstemmed words."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.words("text").alias("tokens"))
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    """The query workload as (query_id, query)."""
+    return spark.createDataFrame(list(enumerate(oracles.WORKLOAD)), "query_id long, query string")
+
+
+def terms_of(spark: SparkSession) -> DataFrame:
+    return index.query_terms(asked(spark), "simple")
+
+
+def plain_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """documents as an unstemmed index that keeps the table's ids and all rows."""
+    held = docs(spark, sf_dir)
+    tokens = text.token_positions(held)
+    postings = index.postings(tokens)
+    grams = index.ngrams(held, 2).unionByName(index.ngrams(held, 3))
+    anchors = postings.select("term", "doc_id", "tf").where("false")
+    size = table(spark, sf_dir, "documents").count()
+    url = F.concat(F.lit("http://"), F.col("source"), F.lit(".example.org/"), F.when(F.col("doc_id") % 3 == 0, F.lit("page/")).otherwise("doc/"), F.floor(F.col("doc_id") / 2))
+    named = table(spark, sf_dir, "documents").select("doc_id", url.alias("url")).withColumn("hidden", urls.is_hidden("url"))
+    none = postings.select("doc_id", F.lit("").alias("url"), F.lit("").alias("href")).where("false")
+    return index.Index(named, postings, grams, anchors, index.statistics(size, postings, grams, anchors), none, size, "simple")
+
+
+# ---- words and index tables -----------------------------------------------------------------------------------------
+
+
+@query
+def tokenize_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.token_positions(docs(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
+
+
+@query
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.term_frequency(docs(spark, sf_dir))
+
+
+@query
+def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf = index.term_frequency(docs(spark, sf_dir))
+    size = table(spark, sf_dir, "documents").count()
+    return tf.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", F.round(text.idf(size, "df"), 6).alias("idf"))
+
+
+@query
+def position_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = index.postings(text.token_positions(docs(spark, sf_dir)))
+    return rows.select("doc_id", "term", F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions"))
+
+
+@query
+def postings_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf = index.term_frequency(docs(spark, sf_dir))
+    grouped = tf.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
+    return grouped.select("term", "df", F.array_join(F.transform("p", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("postings"))
+
+
+@query
+def vocab_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf = index.term_frequency(docs(spark, sf_dir)).groupBy("term").agg(F.sum("tf").alias("cf"))
+    size = table(spark, sf_dir, "documents").count()
+    return tf.agg(F.count("*").alias("num_unique_terms"), F.sum("cf").alias("num_tokens")).select(F.lit(size).cast("long").alias("num_documents"), "num_unique_terms", "num_tokens")
+
+
+def _cf(n: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return index.ngrams(docs(spark, sf_dir), n).groupBy("gram").agg(F.sum("occ").alias("cf"))
+
+    return run
+
+
+QUERIES["bigram_cf"], QUERIES["trigram_cf"] = _cf(2), _cf(3)
+
+
+@query
+def posting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.lookup(plain_index(spark, sf_dir), list(oracles.LOOKUP))
+    return found.select("term", "doc_id", "tf", "df")
+
+
+@query
+def porter_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = docs(spark, sf_dir).select(F.explode("tokens").alias("term")).distinct()
+    return vocabulary.select("term", porter_stem("term").alias("stem"))
+
+
+# ---- duplicates -----------------------------------------------------------------------------------------------------
+
+
+@query
+def md5_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", dedup.content_hash("text").alias("content_md5"))
+
+
+@query
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_of_equal(documents_table(spark, sf_dir)).select(F.col("ord").alias("doc_id"), "content_md5")
+
+
+@query
+def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.duplicate_groups(documents_table(spark, sf_dir))
+
+
+@query
+def exact_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.duplicate_members(documents_table(spark, sf_dir)).withColumnRenamed("ord", "doc_id")
+
+
+@query
+def dense_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup.first_of_equal(documents_table(spark, sf_dir)).select("ord", "content_md5")
+    return index.dense_ids(kept).select(F.col("ord").alias("source_id"), "doc_id")
+
+
+def _hex(column: str) -> Column:
+    return F.lpad(F.lower(F.hex(column)), 16, "0")
+
+
+@query
+def simhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.text_simhash(table(spark, sf_dir, "documents")).select("doc_id", _hex("simhash").alias("simhash"))
+
+
+@query
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = dedup.near_pairs(dedup.text_simhash(table(spark, sf_dir, "documents")))
+    return pairs.select("doc_id", "dup_id", F.col("hamming").cast("int").alias("hamming"))
+
+
+@query
+def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.fingerprint_classes(dedup.text_simhash(table(spark, sf_dir, "documents"))).select("doc_id", _hex("simhash").alias("simhash"), "class_id")
+
+
+# ---- URLs -----------------------------------------------------------------------------------------------------------
+
+
+def _pages(spark: SparkSession, sf_dir: str, column: Column, name: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", column.alias(name))
+
+
+@query
+def url_defragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, urls.defragment("url"), "url")
+
+
+@query
+def url_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, urls.is_hidden("url"), "hidden")
+
+
+@query
+def url_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, urls.penalty("url"), "penalty")
+
+
+@query
+def url_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, urls.page_title("url"), "title")
+
+
+@query
+def display_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, urls.display_url("url", 30), "display_url")
+
+
+@query
+def url_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, urls.snippet("url", oracles.SNIPPETS), "snippet")
+
+
+# ---- pages ----------------------------------------------------------------------------------------------------------
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_table(spark, sf_dir).select("ord", "url", extract_page("content").alias("p")).select(F.col("ord").alias("doc_id"), "url", "p.*")
+
+
+@query
+def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def important_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.term_frequency(_parsed(spark, sf_dir), "important").withColumnRenamed("tf", "important_tf")
+
+
+@query
+def anchor_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.term_frequency(_parsed(spark, sf_dir), "anchor")
+
+
+@query
+def page_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _parsed(spark, sf_dir).select("doc_id", urls.defragment("url").alias("url"), F.explode("hrefs").alias("href"))
+    return links.target_urls(found)
+
+
+# ---- ranking --------------------------------------------------------------------------------------------------------
+
+
+@query
+def term_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.occurrences(terms_of(spark)).select("query_id", "term", "qtf")
+
+
+@query
+def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = plain_index(spark, sf_dir)
+    main = rank.main_scores(rank.matches(terms_of(spark), held), RankConfig())
+    scores = main.select("query_id", "doc_id", F.col("base").alias("score"), "first").withColumn("url", F.col("doc_id").cast("string"))
+    top = rank.rank(scores, RankConfig(digits=6))
+    return top.select("query_id", "rank", "doc_id", "score")
+
+
+@query
+def proximity_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    main = rank.main_scores(rank.matches(terms_of(spark), plain_index(spark, sf_dir)), RankConfig())
+    return main.select("query_id", "doc_id", F.round("nearness", 6).alias("nearness"))
+
+
+@query
+def ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = rank.gram_scores(terms_of(spark), plain_index(spark, sf_dir), RankConfig())
+    return scores.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def anchor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = plain_index(spark, sf_dir)
+    anchors = index.term_frequency(_parsed(spark, sf_dir), "anchor").select("term", "doc_id", "tf")
+    size = table(spark, sf_dir, "pages").count()
+    held.anchors, held.terms = anchors, index.statistics(size, held.postings, held.ngrams, anchors)
+    scores = rank.anchor_scores(terms_of(spark), held, RankConfig())
+    return scores.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def score_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held, config = plain_index(spark, sf_dir), RankConfig()
+    main = rank.main_scores(rank.matches(terms_of(spark), held), config).select("query_id", "doc_id", (F.col("base") * F.col("nearness")).alias("score"), "first")
+    both = rank.union_scores([main, rank.gram_scores(terms_of(spark), held, config)])
+    return both.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("first").cast("int").alias("first"))
+
+
+def cyclic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph with cycles over documents."""
+    nodes = table(spark, sf_dir, "documents").select("doc_id")
+    n = nodes.count()
+    edges = nodes.select(F.col("doc_id").alias("src"), F.explode(F.array((F.col("doc_id") * 7 + 3) % n, (F.col("doc_id") * 13 + 1) % n)).alias("dst"))
+    return nodes, edges.distinct()
+
+
+@query
+def rank_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = cyclic(spark, sf_dir)
+    scores = nodes.select(F.lit(0).cast("long").alias("query_id"), "doc_id", (1.0 + F.col("doc_id") % 10).alias("score"))
+    some = nodes.where("doc_id % 2 = 0")
+    signals = graph.pagerank(nodes, edges, max_iter=1, tol=None).join(some, "doc_id"), graph.hits(nodes, edges, max_iter=1, tol=None)
+    return rank.boost(scores, RankConfig(), *signals).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def dup_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = documents_table(spark, sf_dir)
+    scores = pages.select(F.lit(0).cast("long").alias("query_id"), F.col("ord").alias("doc_id"), (1.0 + F.col("ord") % 7).alias("score"))
+    classes = dedup.duplicate_members(pages).select(F.col("ord").alias("doc_id"), F.col("first").alias("class_id"))
+    return rank.demote_duplicates(scores, classes, RankConfig()).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _plain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.score_queries(asked(spark), plain_index(spark, sf_dir), RankConfig(digits=6))
+
+
+@query
+def url_result_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = rank.rank(_plain_scores(spark, sf_dir), RankConfig(digits=6), 1 << 30)
+    return top.select("query_id", "url", "doc_id")
+
+
+@query
+def total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.total_counts(_plain_scores(spark, sf_dir))
+
+
+@query
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rank.search_many(asked(spark), plain_index(spark, sf_dir), RankConfig(digits=6))
+    return found.select("query_id", "rank", "doc_id", "url", "score", "total_count")
+
+
+@query
+def search_pages_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with stems, emphasis, anchors, links, PageRank and HITS: every signal."""
+    held = index.build_index(pages_table(spark, sf_dir))
+    edges = links.resolve_links(links.target_urls(held.links), held.docs)
+    pr = graph.pagerank(held.docs, edges, size=held.size)
+    hubs = graph.hits(held.docs, edges)
+    return rank.search_many(asked(spark), held, pagerank=pr, hits=hubs)
+
+
+@query
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = index.build_index(documents_table(spark, sf_dir), SIMPLE, html=False)
+    return index.index_stats(spark, held)
+
+
+# ---- links and graphs -----------------------------------------------------------------------------------------------
+
+
+@query
+def asof_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir, "asof")
+
+
+@query
+def corpus_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir, "corpus")
+
+
+def _links(spark: SparkSession, sf_dir: str, resolve: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
+    url = lambda c: F.concat(F.lit("http://u"), c % 50)
+    versions = nodes.select("doc_id", url(F.col("doc_id")).alias("url"))
+    targets = nodes.select("doc_id", url(F.col("doc_id") * 7 + 3).alias("target"))
+    return links.resolve_links(targets, versions, resolve)
+
+
+@query
+def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    edges = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"))
+    return links.out_degree(edges.distinct())
+
+
+@query
+def pagerank_k5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pagerank(*cyclic(spark, sf_dir), max_iter=5, tol=None).select("doc_id", F.round("pr", 12).alias("pr"))
+
+
+@query
+def hits_k5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.hits(*cyclic(spark, sf_dir), max_iter=5, tol=None)
+    return found.select("doc_id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
+
+
+@query
+def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pagerank(*cyclic(spark, sf_dir)).select("doc_id", F.round("pr", 9).alias("pr"))
+
+
+@query
+def l1_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = cyclic(spark, sf_dir)
+    one, two = (graph.pagerank(nodes, edges, max_iter=k, tol=None) for k in (1, 2))
+    pair = one.join(two.withColumnRenamed("pr", "next"), "doc_id")
+    return pair.agg(F.round(F.sum(F.abs(F.col("next") - F.col("pr"))), 9).alias("l1"))
+
+
+@query
+def l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = table(spark, sf_dir, "documents").select((F.col("n_chars") / 1000.0).alias("x"))
+    return graph.l2_norm(values, "x").select(F.round("norm", 6).alias("norm"))
+
+
+SQL: dict[str, str] = oracles.SQL
