@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpoint
+from ..plans.lineage import checkpoint, release
 from .links import out_degree
 
 #: Steps between two checkpoints where no convergence test needs a result earlier.
@@ -32,6 +32,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
             continue
         fresh = checkpoint(fresh)
         moved = l1_distance(ranks, fresh, "pr")
+        release(ranks)
         ranks = fresh
         if moved < tol:
             break
@@ -63,19 +64,17 @@ def hits(nodes: DataFrame, edges: DataFrame, max_iter: int = 100, tol: float | N
     nodes = nodes.select("doc_id")
     edges = checkpoint(edges.select("src", "dst"))
     state = nodes.select("doc_id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority"))
-    for step in range(max_iter):
+    for _ in range(max_iter):
         into = edges.join(state, edges["src"] == state["doc_id"]).groupBy("dst").agg(F.sum("hub").alias("s"))
-        authority = checkpoint(nodes.join(into, nodes["doc_id"] == into["dst"], "left").select("doc_id", F.coalesce("s", F.lit(0.0)).alias("authority")))
-        authority = _normalised(authority, "authority")
+        raw_authority = checkpoint(nodes.join(into, nodes["doc_id"] == into["dst"], "left").select("doc_id", F.coalesce("s", F.lit(0.0)).alias("authority")))
+        authority = _normalised(raw_authority, "authority")
         out = edges.join(authority, edges["dst"] == authority["doc_id"]).groupBy("src").agg(F.sum("authority").alias("s"))
-        hub = checkpoint(nodes.join(out, nodes["doc_id"] == out["src"], "left").select("doc_id", F.coalesce("s", F.lit(0.0)).alias("hub")))
-        fresh = _normalised(hub, "hub").join(authority, "doc_id")
-        if tol is None:
-            state = checkpoint(fresh) if step < max_iter - 1 else fresh
-            continue
-        fresh = checkpoint(fresh)
-        moved = l1_distance(state, fresh, "authority"), l1_distance(state, fresh, "hub")
+        raw_hub = checkpoint(nodes.join(out, nodes["doc_id"] == out["src"], "left").select("doc_id", F.coalesce("s", F.lit(0.0)).alias("hub")))
+        fresh = checkpoint(_normalised(raw_hub, "hub").join(authority, "doc_id"))
+        moved = (l1_distance(state, fresh, "authority"), l1_distance(state, fresh, "hub")) if tol is not None else ()
+        for done in (raw_authority, raw_hub, state):
+            release(done)
         state = fresh
-        if max(moved) < tol:
+        if tol is not None and max(moved) < tol:
             break
     return state
