@@ -13,8 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusrank.llm import langid, packing, pii, simhash
-from corpusrank.llm.common import table
+from corpusrank.llm import bloom, langid, packing, pii, simhash
+from corpusrank.llm.common import checkpoint, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     classes = simhash.near_duplicates(numbered, words=5, similarity=0.8, row="__row")
     ids = numbered.select(F.col("__row").alias("row"), "doc_id").join(classes, "row")
-    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("__row"))
-    return numbered.join(first.select("__row"), "__row", "left_semi").select(*docs.columns)
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("first"))
+    others = checkpoint(ids.join(first, "component").where("row <> first").select("row"))
+    return bloom.keep_others(numbered, others, "__row").select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
