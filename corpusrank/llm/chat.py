@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, parallel
+from .common import parallel, pinned
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 NAMES = ("", "system", "user", "assistant")
@@ -186,7 +186,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("tie"), F.col("number")]
     numbered = given.withColumn("tie", F.xxhash64("text", "role")).withColumn("number", F.monotonically_increasing_id())
     rows = numbered.repartitionByRange(parallel(spark), *order).sortWithinPartitions(*order).drop("tie", "number")
-    rows = checkpoint(rows)
+    rows = pinned(rows)
     ends = sorted(rows.mapInArrow(_edges, "part long, first boolean, last boolean, conv long, m array<long>").collect(), key=lambda r: (r["part"], not r["first"]))
     chains: list[list] = []
     for r in ends:  # two rows for each partition at most

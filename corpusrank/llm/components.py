@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, release
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,14 +13,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star rounds: each round hangs neighbours on the smallest node around them, so the
     depth shrinks geometrically.  Every round is two partial aggregations and two equi-joins; a hub's rows are split
-    by the adaptive skew join.  Rounds are cut by checkpoint().  Self-loops, repeated edges and null ends are ignored.
+    by the adaptive skew join.  Each round is written to the
+    shared checkpoint folder, and the one before deleted.  Self-loops, repeated edges and null ends are ignored.
     """
     pairs = checkpoint(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     state = _state(pairs)
     for _ in range(max_rounds):
-        pairs = checkpoint(_small_star(_large_star(pairs)))
+        old, pairs = pairs, checkpoint(_small_star(_large_star(pairs)))
+        release(old)
         before, state = state, _state(pairs)
         if before == state:
             break

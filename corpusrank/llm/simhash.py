@@ -17,6 +17,7 @@ Inside a bucket only a spanning forest of the links leaves the task, so copies a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,14 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitslice
-from .common import checkpoint, parallel, text_chunks
+from .bloom import keep_only
+from .common import checkpoint, text_chunks
 from .components import connected_components
 
 SEED = 42
 SLOTS = 256
+#: Bucket keys of a text, and as many again for buckets that are too large.
 KEYS = 4
-#: Odd multipliers that permute 64-bit shingle hashes, one for each bucket key.
-PERMUTE = tuple((0x9E3779B97F4A7C15 * (2 * k + 3)) % (1 << 64) | 1 for k in range(KEYS))
+#: Odd multipliers that permute 64-bit shingle hashes, one for each key.
+PERMUTE = tuple((0x9E3779B97F4A7C15 * (2 * k + 3)) % (1 << 64) | 1 for k in range(2 * KEYS))
 #: A bucket with more distinct rows than this is refined before it is compared.
 HOT = 4096
 #: Similarity 0.8 is 27 degrees between shingle sets, 9.7 of 64 bits on average; 18 is about three deviations more.
@@ -125,8 +128,8 @@ def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("fp", F.explode(keys).alias("k")).select("k.m", "k.key", "fp")
 
 
-def bucket_links(rows: DataFrame, link: Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, ...]], gives: tuple[str, ...] = ("a", "b")) -> DataFrame:
-    """Run ``link`` over whole buckets: rows are dealt by (m, key) and sorted; ``link`` gets columns and bucket ends of many buckets at once.
+def bucket_links(rows: DataFrame, link: Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, ...]], gives: tuple[str, ...] = ("a", "b"), by: str = "key") -> DataFrame:
+    """Run ``link`` over whole buckets: rows are dealt by ``by`` (bigint) and sorted; ``link`` gets columns and bucket ends of many buckets at once.
 
     Buckets are cut at ``HOT`` rows before this, so that a task holds a bounded number of rows of one bucket.
     """
@@ -141,8 +144,8 @@ def bucket_links(rows: DataFrame, link: Callable[[dict[str, np.ndarray], np.ndar
 
     def solve(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         cols = {n: np.concatenate([h[n] for h in held]) for n in names}
-        change = np.flatnonzero((cols["m"][1:] != cols["m"][:-1]) | (cols["key"][1:] != cols["key"][:-1])) + 1
-        edges = np.r_[0, change, len(cols["m"])]
+        key = cols[by]
+        edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
         ends = np.repeat(edges[1:], np.diff(edges))
         return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in link(cols, ends)], names=list(gives))
 
@@ -152,9 +155,9 @@ def bucket_links(rows: DataFrame, link: Callable[[dict[str, np.ndarray], np.ndar
             if not batch.num_rows:
                 continue
             cols = columns(batch)
-            last = np.flatnonzero((cols["m"] != cols["m"][-1]) | (cols["key"] != cols["key"][-1]))
+            last = np.flatnonzero(cols[by] != cols[by][-1])
             cut = int(last[-1]) + 1 if len(last) else 0
-            if held and cut == 0 and (held[-1]["m"][-1], held[-1]["key"][-1]) != (cols["m"][0], cols["key"][0]):
+            if held and cut == 0 and held[-1][by][-1] != cols[by][0]:
                 yield solve(held)
                 held = []
             if cut:
@@ -164,7 +167,7 @@ def bucket_links(rows: DataFrame, link: Callable[[dict[str, np.ndarray], np.ndar
         if held:
             yield solve(held)
 
-    return rows.repartition("m", "key").sortWithinPartitions("m", "key").mapInArrow(run, ", ".join(f"{g} long" for g in gives))
+    return rows.repartition(by).sortWithinPartitions(by).mapInArrow(run, ", ".join(f"{g} long" for g in gives))
 
 
 def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +195,8 @@ def classes_within(fps: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame
     for level in range(3):
         crowded = checkpoint(rows.groupBy("m", "key").count().where(F.col("count") > hot).select("m", "key")) if level < 2 else None
         none = crowded is None or crowded.isEmpty()
-        links = bucket_links(rows if none else rows.join(crowded, ["m", "key"], "left_anti"), link)
+        usual = rows if none else rows.join(crowded, ["m", "key"], "left_anti")
+        links = bucket_links(usual.select(F.xxhash64("m", "key").alias("key"), "fp"), link)
         found = links if found is None else found.unionByName(links)
         if none:
             break
@@ -226,7 +230,7 @@ def near_classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 
 
 def signatures(docs: DataFrame, words: int, text: str, row: str) -> DataFrame:
-    """(row, fp, k0..k3, same, sketch): fingerprint, bucket keys, a hash of the whole word sequence and the sketch of each text."""
+    """(row, same, fp, keys, sketch): a hash of the word sequence, fingerprint, bucket keys and sketch of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
@@ -234,15 +238,14 @@ def signatures(docs: DataFrame, words: int, text: str, row: str) -> DataFrame:
             for t in texts:
                 h = shingle_hashes(t, words)
                 fps.append(simhash(h))
-                keys.append([int((h * np.uint64(p)).min()) for p in PERMUTE] if len(h) else [0] * KEYS)
+                keys.append([int((h * np.uint64(p)).min()) for p in PERMUTE] if len(h) else [0] * len(PERMUTE))
                 same.append(xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), 7))
                 sketches.append(sketch(h))
-            k = np.array(keys, np.uint64).reshape(-1, KEYS).view(np.int64)
-            u = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("row"), u(fps), *(pa.array(np.ascontiguousarray(k[:, i])) for i in range(KEYS)), u(same), pa.array(sketches, pa.binary())], names=["row", "fp", *(f"k{i}" for i in range(KEYS)), "same", "sketch"])
+            u = lambda v: pa.array(np.array(v, np.uint64).ravel().view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(PERMUTE)), u(keys))
+            yield pa.RecordBatch.from_arrays([part.column("row"), u(same), u(fps), lists, pa.array(sketches, pa.binary())], names=["row", "same", "fp", "keys", "sketch"])
 
-    schema = "row long, fp long, " + ", ".join(f"k{i} long" for i in range(KEYS)) + ", same long, sketch binary"
-    return docs.select(F.col(row).cast("long").alias("row"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(row).cast("long").alias("row"), F.col(text).cast("string").alias("text")).mapInArrow(run, "row long, same long, fp long, keys array<long>, sketch binary")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -295,8 +298,8 @@ def _exact(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, tex
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.list_(pa.int64()))], names=["row", "hashes"])
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = docs.select(F.col(row).cast("long").alias("row"), F.col(text).cast("string").alias("text")).join(ends, "row", "left_semi")
-    hashed = texts.mapInArrow(sets, "row long, hashes array<long>")
+    texts = docs.select(F.col(row).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
+    hashed = checkpoint(keep_only(texts, ends, "row").mapInArrow(sets, "row long, hashes array<long>"))
     joined = pairs.join(hashed.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(hashed.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return joined.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -309,51 +312,56 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
     class, so all null and blank texts are.  Others meet in buckets of a min-wise hash, are compared bit-sliced within
     ``WIDE`` bits, and link if their sketches estimate a similarity well above the threshold, or about it and the
     shingles themselves, read again for such pairs, reach it.
-    A bucket over ``hot`` distinct texts is dealt into tiles; each tile keeps the root of every class it is sure of for
-    the next round, until the bucket fits.  Two texts of a hot bucket that are similar to each other but to neither
-    root can so be missed there; they still meet in their other three buckets.
+    A bucket over ``hot`` distinct texts is dealt into tiles, in which copies of each other collapse: each tile keeps
+    the roots of the classes that it is sure of.  What is left is bucketed again by a further min-wise hash besides
+    the first, and once more; only texts that still crowd together after three shared hashes meet tile by tile.
     """
     rows = checkpoint(signatures(docs, words, text, row))
-    texts = checkpoint(rows.groupBy("same").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("fp", *(f"k{i}" for i in range(KEYS)), "sketch")]))
-
+    texts = checkpoint(rows.groupBy("same").agg(F.min("row").alias("node"), F.first(F.struct("fp", "keys", "sketch")).alias("s")).select("same", "node", "s.*"))
     def link(cols: dict[str, np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, ...]:
         i, j, sure = _likely_forest(len(ends), bitslice.near_pairs(cols["fp"].view(np.uint64), ends, WIDE), cols["sketch"], similarity)
         node = cols["node"]
         return np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), sure.astype(np.int64)
 
-    keys = F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"k{i}").alias("key")) for i in range(KEYS)])
-    keyed = texts.select("node", "fp", "sketch", F.explode(keys).alias("k")).select("k.m", "k.key", "node", "fp", "sketch")
-    sizes = checkpoint(keyed.groupBy("m", "key").count().where("count > 1"))
-    shared = keyed.join(sizes.where(F.col("count") <= hot), ["m", "key"]).drop("count")
-    found = bucket_links(shared, link, ("a", "b", "sure"))
-    crowded = sizes.where(F.col("count") > hot)
-    waiting = None if crowded.isEmpty() else keyed.join(crowded, ["m", "key"]).drop("count")
-    turn = 0
-    while waiting is not None:
-        counts = waiting.groupBy("m", "key").agg(F.ceil(F.count("*") / F.lit(hot // 2)).alias("tiles"))
-        tiled = waiting.join(counts, ["m", "key"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("tiles")))
-        own = tiled.select("m", F.xxhash64("m", "key", "tile").alias("key"), "node", "fp", "sketch")
-        links = checkpoint(bucket_links(own, link, ("a", "b", "sure")))
-        found = found.unionByName(links)
-        last = counts.agg(F.max("tiles")).first()[0] == 1
-        before = waiting.count()
-        waiting = checkpoint(waiting.join(links.where("sure = 1").select(F.col("a").alias("node")).distinct(), "node", "left_anti").select("m", "key", "node", "fp", "sketch"))
-        turn += 1
-        if last:
+    found, held = [], texts
+    buckets = checkpoint(texts.select("node", F.lit(-1).alias("by"), F.explode(_numbered(range(KEYS))).alias("k")).select("node", "by", F.xxhash64("k.j", "k.key").alias("key")))
+    for level in range(3):
+        sizes = checkpoint(buckets.groupBy("key").count().where("count > 1"))
+        crowded, work, tiled = sizes.where(F.col("count") > hot), buckets.join(sizes.where(F.col("count") <= hot), "key").select("node", "key"), None
+        if not crowded.isEmpty():
+            tiled = checkpoint(_tiled(buckets.join(crowded.select("key"), "key"), hot))
+            work = work.unionByName(tiled.select("node", F.xxhash64("key", "tile").alias("key")))
+        found.append(checkpoint(bucket_links(work.join(held.select("node", "fp", "sketch"), "node").select("key", "node", "fp", "sketch"), link, ("a", "b", "sure"))))
+        if tiled is None:
             break
-        if waiting.count() > 0.9 * before:  # hardly a link in these tiles: the bucket holds texts that differ, of which each pair of tiles must meet
-            found = found.unionByName(bucket_links(_tile_pairs(waiting, hot), link, ("a", "b", "sure")))
+        sure = found[-1].where("sure = 1").select(F.col("a").alias("node")).distinct()
+        left = checkpoint(tiled.join(sure, "node", "left_anti").select("node", "by", "key"))
+        held = checkpoint(keep_only(held, left.select("node").distinct(), "node"))
+        if level == 2:
+            crossed = _tile_pairs(left, hot).join(held.select("node", "fp", "sketch"), "node").select("key", "node", "fp", "sketch")
+            found.append(bucket_links(crossed, link, ("a", "b", "sure")))
             break
-    found = checkpoint(found.groupBy("a", "b").agg(F.max("sure").alias("sure")))
-    checked = _exact(docs, found.where("sure = 0").select("a", "b"), words, similarity, text, row)
-    classes = connected_components(found.where("sure = 1").select("a", "b").unionByName(checked))
+        finer = left.join(held.select("node", "keys"), "node").select("node", "key", "by", F.explode(_numbered(range(KEYS, 2 * KEYS))).alias("k")).where(F.col("k.j") != F.col("by"))
+        buckets = checkpoint(finer.select("node", F.col("k.j").alias("by"), F.xxhash64("key", "k.j", "k.key").alias("key")))
+    pairs = checkpoint(reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    checked = _exact(docs, pairs.where("sure = 0").select("a", "b"), words, similarity, text, row)
+    classes = connected_components(pairs.where("sure = 1").select("a", "b").unionByName(checked))
     named = texts.select("same", "node").join(classes, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     return rows.select("row", "same").join(named, "same").select("row", "component")
 
 
+def _numbered(which: range) -> Column:
+    return F.array(*[F.struct(F.lit(j).alias("j"), F.col("keys")[j].alias("key")) for j in which])
+
+
+def _tiled(rows: DataFrame, hot: int) -> DataFrame:
+    """``rows`` with count, tiles and tile: their bucket dealt into tiles of about half of ``hot``."""
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(hot // 2)).alias("tiles"))
+    return rows.join(counts, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+
+
 def _tile_pairs(rows: DataFrame, hot: int) -> DataFrame:
     """Every pair of a bucket's tiles as a bucket of its own, so that all of its rows meet in tasks of bounded size."""
-    counts = rows.groupBy("m", "key").agg(F.ceil(F.count("*") / F.lit(hot // 2)).alias("tiles"))
-    tiled = rows.join(counts, ["m", "key"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("tiles")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("tiles") - 1, F.lit(0))), lambda t: F.struct(F.least(t, F.col("tile")).alias("x"), F.greatest(t, F.col("tile")).alias("y")))
-    return tiled.withColumn("meet", F.explode(meets)).select("m", F.xxhash64("m", "key", "meet.x", "meet.y").alias("key"), "node", "fp", "sketch")
+    each = _tiled(rows, hot).withColumn("meet", F.explode(meets))
+    return each.select("node", F.xxhash64("key", "meet.x", "meet.y").alias("key"))
