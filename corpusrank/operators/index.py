@@ -85,9 +85,12 @@ def postings(tokens: DataFrame, important: DataFrame | None = None, key: str = "
     return grouped.where("tf > 0")
 
 
-def ngrams(tokens: DataFrame, n: int, column: str = "tokens", key: str = "doc_id") -> DataFrame:
-    """(n, gram, key, occ) of token lists."""
-    return tokens.select(key, F.explode(grams(column, n)).alias("gram")).groupBy("gram", key).agg(F.count("*").alias("occ")).select(F.lit(n).alias("n"), "gram", key, "occ")
+def ngrams(tokens: DataFrame, n: int, column: str = "tokens", key: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
+    """(n, gram, key, occ) of token lists; with ``only`` (gram), of those grams alone, which then reach no shuffle."""
+    every = tokens.select(key, F.explode(grams(column, n)).alias("gram"))
+    if only is not None:
+        every = every.join(only, "gram", "left_semi")
+    return every.groupBy("gram", key).agg(F.count("*").alias("occ")).select(F.lit(n).alias("n"), "gram", key, "occ")
 
 
 def statistics(size: int, postings_: DataFrame, ngrams_: DataFrame, anchors: DataFrame) -> DataFrame:
