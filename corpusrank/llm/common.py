@@ -2,50 +2,59 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpoint, pinned, release
+
+__all__ = ["checkpoint", "kept_columns", "kept_texts", "parallel", "pinned", "ragged", "release", "table", "text_chunks", "unkept"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder that the cluster names in ``spark.checkpoint.dir``; without one (tests), take a local folder."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusrank-"))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def parallel(spark: SparkSession) -> int:
     """Partitions for a shuffle of small rows."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with about ``chars`` characters of text each (or one row, if it is longer), and their texts; null becomes empty."""
+    """Slices of the batches with about ``chars`` bytes of text each (or one row, if it is longer), and their texts; null becomes empty.
+
+    Only one slice's texts are Python objects at a time, and what a task has freed goes back to the system at its end:
+    workers live on, and several share an executor's memory.
+    """
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        texts = ["" if t is None else t for t in batch.column(column).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = size = 0
-        for i, t in enumerate(texts):
-            if i > start and size + len(t) > chars:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate(sizes.tolist()):
+            if i > start and size + n > chars:
+                yield _chunk(batch.slice(start, i - start), column)
                 start, size = i, 0
-            size += len(t)
-        yield batch.slice(start), texts[start:]
+            size += n
+        if batch.num_rows > start:
+            yield _chunk(batch.slice(start), column)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _chunk(part: pa.RecordBatch, column: str) -> tuple[pa.RecordBatch, list[str]]:
+    return part, ["" if t is None else t for t in part.column(column).to_pylist()]
 
 
 def kept_columns(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:

@@ -25,7 +25,8 @@ from .common import ragged, text_chunks
 CAPACITY = 2048
 #: Documents of a group, on average.
 GROUP = 4096
-KNOWN = 1 << 20
+#: Words that a worker remembers; just below the size at which their table would double.
+KNOWN = 640_000
 EOS = 1
 
 
@@ -186,7 +187,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for part, texts in text_chunks(batches):
+        for part, texts in text_chunks(batches, chars=1 << 19):
             which, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(encoder.encode(texts)):
                 ids = np.append(ids, np.uint32(EOS)).astype("<u4")
