@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import text_chunks
 
-PRIME = np.uint64((1 << 31) - 1)
+MERSENNE = (1 << 31) - 1
+PRIME = np.uint64(MERSENNE)
 BASES = (1_000_003_241, 1_610_612_741)
 SPAN = 16
 SLOTS = 64
@@ -65,13 +66,6 @@ class PrefixHash:
             self.prefix.append(_mod(sums))
             self.down.append(down)
 
-    def spans(self, starts: np.ndarray, length: int) -> np.ndarray:
-        """62-bit hashes of the spans [start, start + length)."""
-        out = []
-        for prefix, down in zip(self.prefix, self.down, strict=True):
-            out.append(_mod((prefix[starts + length] + PRIME - prefix[starts]) * down[starts]))
-        return out[0] << np.uint64(31) | out[1]
-
     def grams(self, length: int) -> np.ndarray:
         """62-bit hashes of all spans of this length, in order."""
         count = self.n - length + 1
@@ -79,7 +73,9 @@ class PrefixHash:
         return a << np.uint64(31) | b
 
     def span(self, start: int, length: int) -> int:
-        return int(self.spans(np.array([start]), length)[0])
+        """62-bit hash of the span [start, start + length), the same wherever its text stands."""
+        a, b = ((int(p[start + length]) - int(p[start])) * int(d[start]) % MERSENNE for p, d in zip(self.prefix, self.down, strict=True))
+        return a << 31 | b
 
     def equal(self, start: int, other: PrefixHash, other_start: int, length: int) -> bool:
         """Whether two spans hash alike (equal spans always do; others with probability about (n / 2^31)^2)."""
