@@ -10,7 +10,6 @@ lookup a byte for most bytes.  A text's language is the one with the shortest co
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +23,12 @@ from .hashindex import HashIndex
 ORDER = 4
 #: The training sample: at most so many documents of a language, none of them longer than so many characters.
 TRAIN_DOCS, TRAIN_CHARS = 400, 1 << 15
-#: Bits that an unmodelled byte costs.
+#: Bits that an unmodelled byte costs, besides its escapes.
 RAW = 8.0
+#: Bits a byte at which a text is in no learned language: prose takes 2 to 5, text full of numbers and keys up to 8, an
+#: unknown script 20.
+REJECT = 10.0
+DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
 UNKNOWN = "und"
 
 
@@ -39,8 +42,11 @@ def _grams(data: np.ndarray, order: int) -> np.ndarray:
 
 
 def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in a row, each after ORDER line feeds; start and length of each text in it."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    """All texts in a row, each after ORDER line feeds; start and length of each text in it.
+
+    Letter case and the digits' values say nothing of a language: texts are lower-cased, and all digits are 0.
+    """
+    raw = [t.lower().encode("utf-8", "surrogatepass").translate(DIGITS) for t in texts]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"\n" * ORDER + (b"\n" * ORDER).join(raw), np.uint8)
     return data, np.cumsum(sizes + ORDER) - sizes, sizes
@@ -148,7 +154,7 @@ def identify(docs: DataFrame, model: ContextTrees, text: str = "text", keep: lis
     """The columns ``keep`` (default: doc_id) and lang_pred, score, bits_per_byte of every row.
 
     score is the posterior of the best language under equal priors, from the whole text's code lengths; bits_per_byte
-    is the best code length over the text's bytes (8: as costly as unmodelled bytes).  A null text or one without a
+    is the best code length over the text's bytes.  A null text or one without a
     letter is ``und`` with score 0; so is any text if no language was learned.  Ties go to the language that sorts first.
     Rows are kept as they are; an empty table gives an empty result.
     """
@@ -167,5 +173,5 @@ def identify(docs: DataFrame, model: ContextTrees, text: str = "text", keep: lis
 
 
 def accepted(lang_pred: str = "lang_pred", bits: str = "bits_per_byte") -> Column:
-    """What a corpus filter keeps: a language was found, and its code is shorter than the text's own bytes."""
-    return (F.col(lang_pred) != UNKNOWN) & (F.col(bits) < math.floor(RAW))
+    """What a corpus filter keeps: a language was found, and its code takes fewer than ``REJECT`` bits a byte."""
+    return (F.col(lang_pred) != UNKNOWN) & (F.col(bits) < REJECT)

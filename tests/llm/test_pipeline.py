@@ -20,12 +20,12 @@ def test_stage_names():
 
 def test_language_stage(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    more = docs.unionByName(spark.createDataFrame([(9001, None, None, None, 0), (9002, "12345 !!", None, None, 8), (9003, "鬱" * 50, None, None, 50)], SCHEMA))
+    more = docs.unionByName(spark.createDataFrame([(9001, None, None, None, 0), (9002, "12345 !!", None, None, 8), (9003, "鬱" * 50, None, None, 50), (9004, "THE AND OF THE 12345 WAS", None, None, 24)], SCHEMA))
     got = corpus_pipeline.language_id(spark, more, data)
     assert got.columns == docs.columns
     model = langid.train(more)
-    want = {r["doc_id"] for r in more.collect() for name, _, bits in langid.predict_texts(model, [r["text"]]) if name != "und" and bits < 8}
-    assert {r["doc_id"] for r in got.collect()} == want and not want & {9001, 9002}
+    want = {r["doc_id"] for r in more.collect() for name, _, bits in langid.predict_texts(model, [r["text"]]) if name != "und" and bits < langid.REJECT}
+    assert {r["doc_id"] for r in got.collect()} == want and not want & {9001, 9002, 9003} and 9004 in want
     assert len(want & {r[0] for r in documents(data)}) == docs.count()
 
 
