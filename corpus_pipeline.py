@@ -18,7 +18,7 @@ from corpusrank.llm.common import checkpoint, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those that no learned language codes in fewer bits than their bytes have.
+    """Drop documents without a letter, and those whose best code says that they are in no learned language.
 
     With no labelled document there is no language to reject by, and all stay.
     """
@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     classes = simhash.near_duplicates(numbered, words=5, similarity=0.8, row="__row")
     ids = numbered.select(F.col("__row").alias("row"), "doc_id").join(classes, "row")
-    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("first"))
-    others = checkpoint(ids.join(first, "component").where("row <> first").select("row"))
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row"))
+    others = checkpoint(ids.select("row").join(first.select("row"), "row", "left_anti"))  # by row, as a class may be large
     return bloom.keep_others(numbered, others, "__row").select(*docs.columns)
 
 
