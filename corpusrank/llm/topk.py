@@ -24,7 +24,10 @@ LEAST = -(1 << 62)
 
 
 def integer_vectors(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Dimension -> (ids, floor(1024 * component) as float64 of whole numbers), without nulls and non-finite components."""
+    """Dimension -> (ids, floor(1024 * component) as float64 of whole numbers).
+
+    Without nulls, non-finite components, and components so large that a score could leave 64 bits.
+    """
     sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = vectors.flatten()
     values = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
@@ -36,7 +39,9 @@ def integer_vectors(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndar
     for d in np.unique(sizes[keep]).tolist():
         rows = np.flatnonzero(keep & (sizes == d))
         at = (ends - sizes)[rows][:, None] + np.arange(d)
-        out[d] = number[rows], np.floor(SCALE * values[at]).reshape(len(rows), d)
+        whole = np.floor(SCALE * values[at]).reshape(len(rows), d)
+        fits = np.abs(whole).max(axis=1, initial=0) <= (2.0**62 / max(d, 1)) ** 0.5
+        out[d] = number[rows[fits]], whole[fits]
     return out
 
 
@@ -45,10 +50,7 @@ def products(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     most = (np.abs(rows).max(initial=0)) * (np.abs(queries).max(initial=0)) * max(1, rows.shape[1])
     if most < 2**53:
         return (rows @ queries.T).astype(np.int64)
-    if most < 2**63:
-        return rows.astype(np.int64) @ queries.astype(np.int64).T
-    exact = rows.astype(object)
-    raise OverflowError(f"an inner product may exceed 64 bits: {max(map(abs, exact.ravel().tolist()))}")
+    return rows.astype(np.int64) @ queries.astype(np.int64).T
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +129,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, slices: int = 4,
     Components become floor(1024 * x).  Ties go to the smaller vec_id; fewer candidates give fewer rows.  Rows with a
     null id or vector, or with null or non-finite components, take no part; vectors are compared with queries of their
     own dimension.  Repeated candidate rows count each; repeated query rows count once.  Queries are taken in blocks of
-    ``block`` rows, each read and broadcast on its own.  A product beyond 64 bits raises OverflowError.
+    ``block`` rows, each read and broadcast on its own.  A vector takes no part either if 1024 times a component is beyond
+    sqrt(2^62 / dimension), where a score may leave 64 bits.
     """
     spark = vectors.sparkSession
     picked = queries.select(F.col(vec).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).where("vec_id is not null and embedding is not null").dropDuplicates(["vec_id"])
