@@ -96,23 +96,34 @@ def visible(scores: DataFrame, docs: DataFrame) -> DataFrame:
     return scores.join(docs.where("NOT hidden").select("doc_id", "url"), "doc_id")
 
 
-def rank(scores: DataFrame, config: RankConfig, k: int | None = None) -> DataFrame:
+def best_urls(scores: DataFrame, config: RankConfig) -> DataFrame:
+    """(query_id, url, score, first, doc_id): the best visible document of each URL, by one partial aggregation."""
+    rounded = scores.withColumn("score", F.round("score", config.digits)).withColumn("first", F.coalesce("first", F.lit(1 << 30)))
+    best = rounded.groupBy("query_id", "url").agg(F.min(F.struct((-F.col("score")).alias("minus"), "first", "doc_id")).alias("b"))
+    return best.select("query_id", "url", (0.0 - F.col("b.minus")).alias("score"), "b.first", "b.doc_id")
+
+
+def top(best: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, url, score) of the k best URLs of each query.
 
-    The best document of a URL is a partial aggregation; the cut at k is taken in every task before the shuffle
-    (window group limit), so a query that matches a large part of the corpus sends k rows from each.
+    The cut at k is taken in every task before the shuffle (window group limit), so a query that matches a large part
+    of the corpus sends k rows from each.
     """
-    rounded = scores.withColumn("score", F.round("score", config.digits)).withColumn("first", F.coalesce("first", F.lit(1 << 30)))
-    best = rounded.groupBy("query_id", "url").agg(F.min(F.struct((-F.col("score")).alias("minus"), "first", "doc_id")).alias("b"))
-    rows = best.select("query_id", "url", (-F.col("b.minus")).alias("score"), "b.first", "b.doc_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first", "doc_id")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (k or config.top_k))
-    return ranked.select("query_id", "rank", "doc_id", "url", (F.col("score") + 0.0).alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "url", "score")
+
+
+def rank(scores: DataFrame, config: RankConfig, k: int | None = None) -> DataFrame:
+    """``top`` of the best URLs of each query."""
+    return top(best_urls(scores, config), k or config.top_k)
+
 
+def total_counts(best: DataFrame) -> DataFrame:
+    """(query_id, total_count): the distinct visible URLs of each query.
 
-def total_counts(scores: DataFrame) -> DataFrame:
-    """(query_id, total_count): the distinct visible URLs of each query."""
-    return scores.select("query_id", "url").distinct().groupBy("query_id").agg(F.count("*").alias("total_count"))
+    Counts a column that ``top`` needs too, so that both read one shuffle of the best URLs.
+    """
+    return best.groupBy("query_id").agg(F.count("doc_id").alias("total_count"))
 
 
 def score_queries(queries: DataFrame, index: Index, config: RankConfig = RankConfig(), pagerank: DataFrame | None = None, hits: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:  # noqa: B008
@@ -128,7 +139,8 @@ def score_queries(queries: DataFrame, index: Index, config: RankConfig = RankCon
 def search_many(queries: DataFrame, index: Index, config: RankConfig = RankConfig(), k: int | None = None, **signals: DataFrame | None) -> DataFrame:  # noqa: B008
     """(query_id, rank, doc_id, url, score, total_count) for (query_id, query); a query without a word has no rows."""
     scores = score_queries(queries, index, config, **signals)
-    return rank(scores, config, k).join(total_counts(scores), "query_id")
+    best = best_urls(scores, config)
+    return top(best, k or config.top_k).join(total_counts(best), "query_id")
 
 
 def search(query: str, index: Index, config: RankConfig = RankConfig(), k: int | None = None, **signals: DataFrame | None) -> tuple[list[tuple[str, float]], int]:  # noqa: B008

@@ -327,7 +327,7 @@ def url_result_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.total_counts(_plain_scores(spark, sf_dir))
+    return rank.total_counts(rank.best_urls(_plain_scores(spark, sf_dir), RankConfig(digits=6)))
 
 
 @query
