@@ -185,7 +185,7 @@ def compare_with_next(docs: DataFrame, text: str = "text", row: str = "doc_id")
     def range_of(ids: pd.Series) -> pd.Series:
         return pd.Series(ranges(ids))
 
-    numbered = given.select("row").groupBy("row").count().select("row", range_of("row").alias("part"))
+    numbered = given.select("row", range_of("row").alias("part"))
     heads = {r["part"]: r["head"] for r in numbered.groupBy("part").agg(F.max("row").alias("head")).collect()}  # a row for each range
     order = sorted(heads)
     before = {p: order[i - 1] for i, p in enumerate(order)}
