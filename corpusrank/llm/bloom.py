@@ -20,8 +20,8 @@ def _places(ids: np.ndarray) -> list[np.ndarray]:
     return [((x ^ x >> np.uint64(31)) * np.uint64(m) >> np.uint64(64 - 24)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
-def might_hold(ids: DataFrame, column: str) -> Column:
-    """A condition on ``column`` (bigint) that holds for every id of the one-column ``ids``, and for few others."""
+def bloom_filter(ids: DataFrame) -> np.ndarray:
+    """The filter's bits (uint32 words) over the one-column ``ids`` (bigint; nulls are left out)."""
 
     @F.pandas_udf("array<int>")
     def places(values: pd.Series) -> pd.Series:
@@ -33,15 +33,25 @@ def might_hold(ids: DataFrame, column: str) -> Column:
     held = words.toArrow()  # BITS / 32 rows at most
     table = np.zeros(BITS // 32, np.uint32)
     table[held.column("word").to_numpy()] = held.column("bits").to_numpy().astype(np.uint32)
-    shared = ids.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def holds(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each id: never false for one that went in."""
+    out = np.ones(len(ids), bool)
+    for place in _places(ids):
+        out &= (table[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)
+    return out
+
+
+def might_hold(ids: DataFrame, column: str) -> Column:
+    """A condition on ``column`` (bigint) that holds for every id of the one-column ``ids``, and for few others."""
+    shared = ids.sparkSession.sparkContext.broadcast(bloom_filter(ids))
 
     @F.pandas_udf("boolean")
     def might(values: pd.Series) -> pd.Series:
         known, out = values.notna().to_numpy(), np.zeros(len(values), bool)
-        own = np.ones(int(known.sum()), bool)
-        for place in _places(values[known].to_numpy()):
-            own &= (shared.value[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)
-        out[known] = own
+        out[known] = holds(shared.value, values[known].to_numpy())
         return pd.Series(out, index=values.index)
 
     return might(F.col(column))

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, text_chunks
+from .common import ragged, text_chunks, worker_cache
 from .hashindex import HashIndex
 
 NONE = np.int32(2**31 - 1)
@@ -171,14 +171,11 @@ class Encoder:
         return ids, np.diff(upto)
 
 
-_MODELS: dict[int, ByteBPE] = {}
-
-
 def _model(ranks: bytes) -> ByteBPE:
-    key = hash(ranks)
-    if key not in _MODELS:
-        _MODELS[key] = ByteBPE(ranks)
-    return _MODELS[key]
+    cache = worker_cache("bpe")
+    if ranks not in cache:
+        cache[ranks] = ByteBPE(ranks)
+    return cache[ranks]
 
 
 def read_ranks(path: str) -> bytes:
@@ -196,7 +193,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_model(shared.value), pattern)
-        for part, texts in text_chunks(batches, chars=1 << 19):
+        for part, texts in text_chunks(batches, chars=1 << 19, owner="bpe"):
             ids, sizes = encoder.encode(texts)
             offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["row", "ids"])

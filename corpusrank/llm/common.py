@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint, pinned, release
 
-__all__ = ["checkpoint", "kept_columns", "kept_texts", "parallel", "pinned", "ragged", "release", "table", "text_chunks", "unkept"]
+__all__ = ["checkpoint", "kept_columns", "kept_texts", "parallel", "pinned", "ragged", "release", "table", "text_chunks", "unkept", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +26,14 @@ def parallel(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 1 << 20, owner: str = "") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about ``chars`` bytes of text each (or one row, if it is longer), and their texts; null becomes empty.
 
     Only one slice's texts are Python objects at a time, and what a task has freed goes back to the system at its end:
     workers live on, and several share an executor's memory.
     """
+    if owner not in _caches:
+        _caches.clear()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = size = 0
@@ -45,6 +47,17 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", chars:
     give_back()
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What this Python worker keeps between an operator's tasks; the first task of another operator drops it."""
+    if owner not in _caches:
+        _caches.clear()
+        _caches[owner] = {}
+    return _caches[owner]
+
+
 def give_back() -> None:
     """Return freed memory of this Python worker to the system."""
     pa.default_memory_pool().release_unused()

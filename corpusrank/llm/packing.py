@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import ragged, text_chunks
+from .common import ragged, text_chunks, worker_cache
 
 CAPACITY = 2048
 #: Documents of a group, on average.
@@ -165,16 +165,13 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
 def _encoder(tokenizer: str) -> WordEncoder:
     """One for each Python worker, so that words stay known between tasks; tasks are the unit of parallelism."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = hash(tokenizer)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(tokenizer)
-    return _ENCODERS[key]
+    cache = worker_cache("packing")
+    if tokenizer not in cache:
+        cache[tokenizer] = WordEncoder(tokenizer)
+    return cache[tokenizer]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text", row: str = "doc_id") -> DataFrame:
@@ -187,7 +184,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for part, texts in text_chunks(batches, chars=1 << 19):
+        for part, texts in text_chunks(batches, chars=1 << 19, owner="packing"):
             which, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(encoder.encode(texts)):
                 ids = np.append(ids, np.uint32(EOS)).astype("<u4")

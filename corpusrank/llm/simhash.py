@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitslice
-from .bloom import keep_only
+from .bloom import bloom_filter, holds, keep_only
 from .common import checkpoint, text_chunks
 from .components import connected_components
 
@@ -292,14 +292,17 @@ def _likely_forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], sketc
 def _exact(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, text: str, row: str) -> DataFrame:
     """Those of the (a, b) row pairs whose distinct shingles have at least the similarity."""
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(ends))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches):
+        asked = (b.filter(pa.array(holds(shared.value, b.column("row").to_numpy(zero_copy_only=False)))) for b in batches)
+        for part, texts in text_chunks(asked):
             found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.list_(pa.int64()))], names=["row", "hashes"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     texts = docs.select(F.col(row).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
-    hashed = checkpoint(keep_only(texts, ends, "row").mapInArrow(sets, "row long, hashes array<long>"))
+    hashed = checkpoint(texts.mapInArrow(sets, "row long, hashes array<long>"))  # those of the pairs, and few others
     joined = pairs.join(hashed.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(hashed.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return joined.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
