@@ -9,7 +9,7 @@ Two ways to find what to compare are offered.
 * ``near_duplicates`` serves shingle similarity (five words, 0.8 or more), where fingerprints may differ in many bits.
   Buckets are four min-wise shingle hashes (a pair of similarity 0.8 misses all four with probability 0.0016), the
   bit-sliced comparison with a wide radius leaves candidates, a 256-slot sketch estimates their similarity, and pairs
-  whose estimate is near the threshold are settled by their shingles.
+  whose estimate is near the threshold are settled by their shingles until their ends are in one class.
 
 Inside a bucket only a spanning forest of the links leaves the task, so copies are never expanded into pairs.
 """
@@ -43,6 +43,8 @@ HOT = 4096
 WIDE = 18
 #: Three deviations of a sketch's estimate: pairs this near to the threshold are checked exactly.
 DOUBT = 0.07
+#: Shingles of a bucket that one task checks exactly (32 MB).
+SHINGLES = 1 << 22
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -254,22 +256,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(1) / np.maximum(used, 1)
 
 
-def _likely_forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, sure): pairs that join the rows of a task's buckets, those of the highest estimates.
+def _likely_links(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, rows, labels): a spanning forest of the pairs whose estimate is at least similarity + ``DOUBT``, and the classes it makes.
 
-    Estimates of at least similarity + ``DOUBT`` are sure.  Pairs down to similarity - ``DOUBT`` are left to an exact
-    check, as a spanning forest that prefers high estimates; it is thinned whenever many have gathered.
+    ``rows`` are all those with a pair down to similarity - ``DOUBT`` between two classes.  Whether such pairs link is
+    not decided here, and none of them is left out for another.
     """
-    labels, sure, doubtful = np.arange(n), [], np.zeros((3, 0))
-
-    def thin(found: np.ndarray) -> np.ndarray:
-        own, kept = labels.copy(), []
-        levels = np.floor(found[2] * 100).astype(int)
-        for level in sorted(set(levels.tolist()), reverse=True):
-            some = found[:, levels == level]
-            kept.append(some[:, bitslice.span(own, some[0].astype(np.int64), some[1].astype(np.int64))])
-        return np.concatenate([found[:, :0], *kept], axis=1)
-
+    labels, sure, open_pairs, rows = np.arange(n), [], np.zeros((2, 0), np.int64), np.zeros(n, bool)
     for i, j in pairs:
         for at in range(0, len(i), 1 << 14):
             x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
@@ -280,32 +273,79 @@ def _likely_forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], sketc
             used = bitslice.span(labels, x[certain], y[certain])
             sure.append(np.stack([x[certain][used], y[certain][used]]))
             maybe = ~certain & (score >= similarity - DOUBT)
-            doubtful = np.concatenate([doubtful, np.stack([x[maybe], y[maybe], score[maybe]])], axis=1)
-            if doubtful.shape[1] > 1 << 18:
-                doubtful = thin(doubtful)
-    doubtful = thin(doubtful)[:2].astype(np.int64)
+            open_pairs = np.concatenate([open_pairs, np.stack([x[maybe], y[maybe]])], axis=1)
+            if open_pairs.shape[1] > 1 << 18:
+                rows[open_pairs[:, labels[open_pairs[0]] != labels[open_pairs[1]]]] = True
+                open_pairs = open_pairs[:, :0]
+    rows[open_pairs[:, labels[open_pairs[0]] != labels[open_pairs[1]]]] = True
     made = np.concatenate([np.zeros((2, 0), np.int64), *sure], axis=1)
-    both = np.concatenate([made, doubtful], axis=1)
-    return both[0], both[1], np.arange(both.shape[1]) < made.shape[1]
+    return made[0], made[1], np.flatnonzero(rows), labels
 
 
-def _exact(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, text: str, row: str) -> DataFrame:
-    """Those of the (a, b) row pairs whose distinct shingles have at least the similarity."""
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least the similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common >= similarity * (len(x) + len(y) - common)
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(ends))
+
+def _exact_forest(labels: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], sketches: np.ndarray, sets: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): pairs whose sets have the similarity and that join the classes ``labels`` (changed in place).
+
+    Every pair with an estimate of similarity - ``DOUBT`` is checked unless its ends are joined by then: a forest of
+    the best estimates is checked, then one over the unchecked pairs that are still between two classes, until none is.
+    """
+    size, made = np.array([len(x) for x in sets], np.int64), [np.zeros((2, 0), np.int64)]
+    for i, j in pairs:
+        for at in range(0, len(i), 1 << 14):
+            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            apart = (labels[x] != labels[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]))
+            x, y = x[apart], y[apart]
+            score = likeness(sketches[x], sketches[y])
+            best = np.argsort(-score, kind="stable")[: int((score >= similarity - DOUBT).sum())]
+            x, y = x[best], y[best]
+            while len(x):
+                forest = bitslice.span(labels.copy(), x, y)
+                linked = forest[[_similar(sets[u], sets[v], similarity) for u, v in zip(x[forest].tolist(), y[forest].tolist(), strict=True)]]
+                made.append(np.stack([x[linked], y[linked]]))
+                bitslice.hook(labels, x[linked], y[linked])
+                left = labels[x] != labels[y]
+                left[forest] = False
+                x, y = x[left], y[left]
+    both = np.concatenate(made, axis=1)
+    return both[0], both[1]
+
+
+def _exact(docs: DataFrame, doubtful: DataFrame, words: int, similarity: float, text: str, row: str, most: int = SHINGLES) -> DataFrame:
+    """(a, b) row pairs that link what is ``doubtful`` (key, node, root) by distinct shingles.
+
+    In each bucket ``key`` all pairs of rows with an estimate near the threshold or above are checked until they are
+    in one class; rows of one root are from the start.  A bucket of more than ``most`` shingles is dealt into tiles, and
+    each pair of tiles is a task of its own.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(doubtful.select("node").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = (b.filter(pa.array(holds(shared.value, b.column("row").to_numpy(zero_copy_only=False)))) for b in batches)
         for part, texts in text_chunks(asked):
-            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.list_(pa.int64()))], names=["row", "hashes"])
+            every = [shingle_hashes(t, words) for t in texts]
+            found = [np.unique(h.view(np.int64)) for h in every]
+            fps, sketches = pa.array(np.array([simhash(h) for h in every], np.uint64).view(np.int64)), pa.array([sketch(h) for h in every], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("row"), fps, sketches, pa.array(found, pa.list_(pa.int64()))], names=["node", "fp", "sketch", "hashes"])
+
+    def link(cols: dict[str, np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, first, own = np.unique(np.stack([ends, cols["root"]]), axis=1, return_index=True, return_inverse=True)
+        i, j = _exact_forest(first[own.ravel()], bitslice.near_pairs(cols["fp"].view(np.uint64), ends, WIDE), cols["sketch"], cols["hashes"], similarity)
+        return np.maximum(cols["node"][i], cols["node"][j]), np.minimum(cols["node"][i], cols["node"][j])
 
     texts = docs.select(F.col(row).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
-    hashed = checkpoint(texts.mapInArrow(sets, "row long, hashes array<long>"))  # those of the pairs, and few others
-    joined = pairs.join(hashed.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(hashed.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return joined.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    hashed = checkpoint(texts.mapInArrow(sets, "node long, fp long, sketch binary, hashes array<long>"))  # those that are doubtful, and few others
+    sized = doubtful.join(hashed.select("node", F.size("hashes").alias("weight")), "node")
+    rows = _tile_pairs(sized, most, "root", weight="weight").join(hashed, "node")
+    return bucket_links(rows.select("key", "node", "root", "fp", "sketch", "hashes"), link)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", row: str = "row", hot: int = HOT) -> DataFrame:
@@ -322,9 +362,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
     rows = checkpoint(signatures(docs, words, text, row))
     texts = checkpoint(rows.groupBy("same").agg(F.min("row").alias("node"), F.first(F.struct("fp", "keys", "sketch")).alias("s")).select("same", "node", "s.*"))
     def link(cols: dict[str, np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        i, j, sure = _likely_forest(len(ends), bitslice.near_pairs(cols["fp"].view(np.uint64), ends, WIDE), cols["sketch"], similarity)
-        node = cols["node"]
-        return np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), sure.astype(np.int64)
+        i, j, open_rows, labels = _likely_links(len(ends), bitslice.near_pairs(cols["fp"].view(np.uint64), ends, WIDE), cols["sketch"], similarity)
+        node, sure = cols["node"], np.arange(len(i) + len(open_rows)) < len(i)
+        a, b = np.r_[np.maximum(node[i], node[j]), node[open_rows]], np.r_[np.minimum(node[i], node[j]), node[labels[open_rows]]]
+        return a, b, sure, cols["key"][np.r_[i, open_rows]]  # not sure: a row and its root in the bucket
 
     found, held = [], texts
     buckets = checkpoint(texts.select("node", F.lit(-1).alias("by"), F.explode(_numbered(range(KEYS))).alias("k")).select("node", "by", F.xxhash64("k.j", "k.key").alias("key")))
@@ -334,7 +375,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
         if not crowded.isEmpty():
             tiled = checkpoint(_tiled(buckets.join(crowded.select("key"), "key"), hot))
             work = work.unionByName(tiled.select("node", F.xxhash64("key", "tile").alias("key")))
-        found.append(checkpoint(bucket_links(work.join(held.select("node", "fp", "sketch"), "node").select("key", "node", "fp", "sketch"), link, ("a", "b", "sure"))))
+        found.append(checkpoint(bucket_links(work.join(held.select("node", "fp", "sketch"), "node").select("key", "node", "fp", "sketch"), link, ("a", "b", "sure", "key"))))
         if tiled is None:
             break
         sure = found[-1].where("sure = 1").select(F.col("a").alias("node")).distinct()
@@ -342,13 +383,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
         held = checkpoint(keep_only(held, left.select("node").distinct(), "node"))
         if level == 2:
             crossed = _tile_pairs(left, hot).join(held.select("node", "fp", "sketch"), "node").select("key", "node", "fp", "sketch")
-            found.append(bucket_links(crossed, link, ("a", "b", "sure")))
+            found.append(checkpoint(bucket_links(crossed, link, ("a", "b", "sure", "key"))))
             break
         finer = left.join(held.select("node", "keys"), "node").select("node", "key", "by", F.explode(_numbered(range(KEYS, 2 * KEYS))).alias("k")).where(F.col("k.j") != F.col("by"))
         buckets = checkpoint(finer.select("node", F.col("k.j").alias("by"), F.xxhash64("key", "k.j", "k.key").alias("key")))
-    pairs = checkpoint(reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("sure").alias("sure")))
-    checked = _exact(docs, pairs.where("sure = 0").select("a", "b"), words, similarity, text, row)
-    classes = connected_components(pairs.where("sure = 1").select("a", "b").unionByName(checked))
+    links = reduce(DataFrame.unionByName, found)
+    doubtful = checkpoint(links.where("sure = 0").select("key", F.col("a").alias("node"), F.col("b").alias("root")))
+    checked = _exact(docs, doubtful, words, similarity, text, row)
+    classes = connected_components(links.where("sure = 1").select("a", "b").unionByName(checked))
     named = texts.select("same", "node").join(classes, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     return rows.select("row", "same").join(named, "same").select("row", "component")
 
@@ -357,14 +399,15 @@ def _numbered(which: range) -> Column:
     return F.array(*[F.struct(F.lit(j).alias("j"), F.col("keys")[j].alias("key")) for j in which])
 
 
-def _tiled(rows: DataFrame, hot: int) -> DataFrame:
-    """``rows`` with count, tiles and tile: their bucket dealt into tiles of about half of ``hot``."""
-    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(hot // 2)).alias("tiles"))
+def _tiled(rows: DataFrame, hot: int, weight: str = "1") -> DataFrame:
+    """``rows`` with tiles and tile: their bucket, if its weight is over ``hot``, dealt into tiles of about half of that."""
+    total = F.sum(F.expr(weight))
+    counts = rows.groupBy("key").agg(F.when(total > hot, F.ceil(total / F.lit(hot // 2))).otherwise(F.lit(1).cast("long")).alias("tiles"))
     return rows.join(counts, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
 
 
-def _tile_pairs(rows: DataFrame, hot: int) -> DataFrame:
+def _tile_pairs(rows: DataFrame, hot: int, *others: str, weight: str = "1") -> DataFrame:
     """Every pair of a bucket's tiles as a bucket of its own, so that all of its rows meet in tasks of bounded size."""
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("tiles") - 1, F.lit(0))), lambda t: F.struct(F.least(t, F.col("tile")).alias("x"), F.greatest(t, F.col("tile")).alias("y")))
-    each = _tiled(rows, hot).withColumn("meet", F.explode(meets))
-    return each.select("node", F.xxhash64("key", "meet.x", "meet.y").alias("key"))
+    each = _tiled(rows, hot, weight).withColumn("meet", F.explode(meets))
+    return each.select("node", *others, F.xxhash64("key", "meet.x", "meet.y").alias("key"))

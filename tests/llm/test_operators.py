@@ -144,6 +144,39 @@ def test_near_duplicates_against_jaccard(spark, hot):
     assert all(jaccard(texts[i] or "", texts[j] or "") > 0.5 for i, c in got.items() if (j := c) != i and roots[i] != roots[j]) or wrong == 0
 
 
+def edited_groups(r, groups, size, words, edits):
+    """Groups of copies of a text, each with some of its words replaced by others, and the class of each copy by brute force."""
+    texts, roots = [], []
+    for _ in range(groups):
+        base = [r.choice(words) for _ in range(200)]
+        copies = []
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(r.choice(edits)):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            copies.append(" ".join(copy))
+        roots += [len(texts) + c for c in brute_classes(size, lambda i, j, copies=copies: jaccard(copies[i], copies[j]) >= 0.8)]
+        texts += copies
+    return texts, roots
+
+
+def test_doubtful_pairs_are_all_checked(spark):
+    texts, roots = edited_groups(random.Random(5), 12, 40, [f"w{i}" for i in range(3000)], (2, 3, 3))
+    got = {x["row"]: x["component"] for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    assert sum(got[i] != c for i, c in enumerate(roots)) <= 2  # a pair may miss all four buckets
+
+
+def test_exact_check_in_tiles(spark):
+    texts, roots = edited_groups(random.Random(6), 4, 30, [f"w{i}" for i in range(3000)], (2, 3))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    doubtful = spark.createDataFrame([(i // 30, i, i) for i in range(len(texts))], "key long, node long, root long")
+    for most in (1 << 22, 2000):
+        links = simhash._exact(rows, doubtful, 5, 0.8, "text", "row", most).collect()
+        joined = {frozenset((x["a"], x["b"])) for x in links}
+        assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in joined)
+        assert brute_classes(len(texts), lambda i, j, joined=joined: frozenset((i, j)) in joined) == roots
+
+
 def test_bloom_joins_are_exact(spark):
     rows = spark.createDataFrame([(i if i % 11 else None, str(i)) for i in range(500)], "id long, v string")
     ids = spark.createDataFrame([(i,) for i in range(0, 500, 3)] + [(None,)], "x long")
