@@ -232,13 +232,13 @@ def near_classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 
 
 def signatures(docs: DataFrame, words: int, text: str, row: str) -> DataFrame:
-    """(row, same, fp, keys, sketch): a hash of the word sequence, fingerprint, bucket keys and sketch of each text."""
+    """(row, same, fp, keys, sketch): a hash of the word sequence, and fingerprint, bucket keys and sketch of each text's distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
             fps, keys, same, sketches = [], [], [], []
             for t in texts:
-                h = shingle_hashes(t, words)
+                h = np.unique(shingle_hashes(t, words))  # similarity is one of sets: repeats must not weigh
                 fps.append(simhash(h))
                 keys.append([int((h * np.uint64(p)).min()) for p in PERMUTE] if len(h) else [0] * len(PERMUTE))
                 same.append(xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), 7))
@@ -331,8 +331,8 @@ def _exact(docs: DataFrame, doubtful: DataFrame, words: int, similarity: float,
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = (b.filter(pa.array(holds(shared.value, b.column("row").to_numpy(zero_copy_only=False)))) for b in batches)
         for part, texts in text_chunks(asked):
-            every = [shingle_hashes(t, words) for t in texts]
-            found = [np.unique(h.view(np.int64)) for h in every]
+            every = [np.unique(shingle_hashes(t, words)) for t in texts]
+            found = [np.sort(h.view(np.int64)) for h in every]
             fps, sketches = pa.array(np.array([simhash(h) for h in every], np.uint64).view(np.int64)), pa.array([sketch(h) for h in every], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("row"), fps, sketches, pa.array(found, pa.list_(pa.int64()))], names=["node", "fp", "sketch", "hashes"])
 

@@ -166,6 +166,18 @@ def test_doubtful_pairs_are_all_checked(spark):
     assert sum(got[i] != c for i, c in enumerate(roots)) <= 2  # a pair may miss all four buckets
 
 
+def test_copies_with_repeated_lines(spark):
+    r = random.Random(8)
+    words, texts = [f"w{i}" for i in range(3000)], []
+    for times in (0, 10, 30, 100, 150):
+        for _ in range(8):
+            base = " ".join(r.choice(words) for _ in range(300))
+            texts += [base, base + " " + " ".join([" ".join(r.choice(words) for _ in range(8))] * times)]
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    got = {x["row"]: x["component"] for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_exact_check_in_tiles(spark):
     texts, roots = edited_groups(random.Random(6), 4, 30, [f"w{i}" for i in range(3000)], (2, 3))
     rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
