@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of each class of near-duplicates (five words, similarity 0.8 or more)."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = checkpoint(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, as each scan would number anew
     classes = simhash.near_duplicates(numbered, words=5, similarity=0.8, row="__row")
     ids = numbered.select(F.col("__row").alias("row"), "doc_id").join(classes, "row")
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row"))

@@ -38,6 +38,28 @@ def test_dedup_stage(spark, data):
     assert {r["doc_id"] for r in got.collect()} == {rows[c][0] for c in set(roots)}
 
 
+def test_dedup_stage_when_scans_are_split_anew(spark, data, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").repartition(12)
+    docs.write.parquet(str(tmp_path / "documents"))
+    docs, near = spark.read.parquet(str(tmp_path / "documents")), corpus_pipeline.simhash.near_duplicates
+
+    def then_split(*args, **kwargs):
+        found = corpus_pipeline.checkpoint(near(*args, **kwargs))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")  # as when executors come or go
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return found
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+    try:
+        want = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, data).collect()}
+        monkeypatch.setattr(corpus_pipeline.simhash, "near_duplicates", then_split)
+        got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, data).collect()]
+    finally:
+        for name in ("openCostInBytes", "minPartitionNum", "maxPartitionBytes"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+    assert set(got) == want and len(got) == len(want) < docs.count()
+
+
 def test_dedup_stage_edges(spark, data):
     rows = [(None, "same words in this one text", None, None, None), (5, "same words in this one text", None, None, None), (5, "same words in this one text", None, None, None), (6, None, None, None, None), (7, "", None, None, None)]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), data).collect()
