@@ -9,7 +9,9 @@ Two ways to find what to compare are offered.
 * ``near_duplicates`` serves shingle similarity (five words, 0.8 or more), where fingerprints may differ in many bits.
   Buckets are four min-wise shingle hashes (a pair of similarity 0.8 misses all four with probability 0.0016), the
   bit-sliced comparison with a wide radius leaves candidates, a 256-slot sketch estimates their similarity, and pairs
-  whose estimate is near the threshold are settled by their shingles until their ends are in one class.
+  whose estimate is near the threshold are settled by their shingles until their ends are in one class.  A large bucket
+  is dealt into tiles, whose links make most of it one class; what then is still of several classes is bucketed by
+  further hashes, and at the end every two rows of different classes that still share a large bucket are compared.
 
 Inside a bucket only a spanning forest of the links leaves the task, so copies are never expanded into pairs.
 """
@@ -17,7 +19,6 @@ Inside a bucket only a spanning forest of the links leaves the task, so copies a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,20 +28,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitslice
-from .bloom import bloom_filter, holds, keep_only
-from .common import checkpoint, text_chunks
+from .bloom import bloom_filter, holds
+from .common import checkpoint, release, text_chunks
 from .components import connected_components
 
 SEED = 42
 SLOTS = 256
-#: Bucket keys of a text, and as many again for buckets that are too large.
-KEYS = 4
-#: Odd multipliers that permute 64-bit shingle hashes, one for each key.
-PERMUTE = tuple((0x9E3779B97F4A7C15 * (2 * k + 3)) % (1 << 64) | 1 for k in range(2 * KEYS))
-#: A bucket with more distinct rows than this is refined before it is compared.
+#: Bucket keys of a text, and as many again for each time that large buckets are bucketed anew.
+KEYS, LEVELS = 4, 3
+#: Odd multipliers that permute 64-bit shingle hashes, one for each key: drawn, as small multiples of each other would have
+#: the same shingle as their least in most texts.
+PERMUTE = tuple(xxhash.xxh64_intdigest(f"key {k}", SEED) | 1 for k in range(LEVELS * KEYS))
+#: A bucket with more distinct rows than this is dealt out before it is compared.
 HOT = 4096
-#: Similarity 0.8 is 27 degrees between shingle sets, 9.7 of 64 bits on average; 18 is about three deviations more.
-WIDE = 18
+#: Similarity 0.8 is 27 degrees between shingle sets, 9.7 of 64 bits on average; 20 is over three and a half deviations more.
+WIDE = 20
 #: Three deviations of a sketch's estimate: pairs this near to the threshold are checked exactly.
 DOUBT = 0.07
 #: Shingles of a bucket that one task checks exactly (32 MB).
@@ -256,13 +258,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(1) / np.maximum(used, 1)
 
 
-def _likely_links(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, rows, labels): a spanning forest of the pairs whose estimate is at least similarity + ``DOUBT``, and the classes it makes.
+def _likely_links(labels: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, rows): a spanning forest of the pairs whose estimate is at least similarity + ``DOUBT``; ``labels`` become its classes.
 
-    ``rows`` are all those with a pair down to similarity - ``DOUBT`` between two classes.  Whether such pairs link is
-    not decided here, and none of them is left out for another.
+    ``labels`` (changed in place) say what is in one class from the start.  ``rows`` are all those with a pair down to
+    similarity - ``DOUBT`` between two classes.  Whether such pairs link is not decided here, and none of them is left
+    out for another.
     """
-    labels, sure, open_pairs, rows = np.arange(n), [], np.zeros((2, 0), np.int64), np.zeros(n, bool)
+    sure, open_pairs, rows = [], np.zeros((2, 0), np.int64), np.zeros(len(labels), bool)
     for i, j in pairs:
         for at in range(0, len(i), 1 << 14):
             x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
@@ -279,7 +282,16 @@ def _likely_links(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], sketch
                 open_pairs = open_pairs[:, :0]
     rows[open_pairs[:, labels[open_pairs[0]] != labels[open_pairs[1]]]] = True
     made = np.concatenate([np.zeros((2, 0), np.int64), *sure], axis=1)
-    return made[0], made[1], np.flatnonzero(rows), labels
+    return made[0], made[1], np.flatnonzero(rows)
+
+
+def _first_of(ends: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """For each row the first index with its bucket and root."""
+    order = np.lexsort((roots, ends))  # stable: a group's first row comes first
+    new = np.r_[True, (ends[order][1:] != ends[order][:-1]) | (roots[order][1:] != roots[order][:-1])][: len(order)]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1]
+    return out
 
 
 def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -319,12 +331,12 @@ def _exact_forest(labels: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarr
     return both[0], both[1]
 
 
-def _exact(docs: DataFrame, doubtful: DataFrame, words: int, similarity: float, text: str, row: str, most: int = SHINGLES) -> DataFrame:
+def _exact(docs: DataFrame, doubtful: DataFrame, words: int, similarity: float, text: str, row: str, made: list[DataFrame], most: int = SHINGLES) -> DataFrame:
     """(a, b) row pairs that link what is ``doubtful`` (key, node, root) by distinct shingles.
 
     In each bucket ``key`` all pairs of rows with an estimate near the threshold or above are checked until they are
     in one class; rows of one root are from the start.  A bucket of more than ``most`` shingles is dealt into tiles, and
-    each pair of tiles is a task of its own.
+    each pair of tiles is a task of its own.  What is written goes to ``made``, to be released.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(doubtful.select("node").distinct()))
 
@@ -337,77 +349,130 @@ def _exact(docs: DataFrame, doubtful: DataFrame, words: int, similarity: float,
             yield pa.RecordBatch.from_arrays([part.column("row"), fps, sketches, pa.array(found, pa.list_(pa.int64()))], names=["node", "fp", "sketch", "hashes"])
 
     def link(cols: dict[str, np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, first, own = np.unique(np.stack([ends, cols["root"]]), axis=1, return_index=True, return_inverse=True)
-        i, j = _exact_forest(first[own.ravel()], bitslice.near_pairs(cols["fp"].view(np.uint64), ends, WIDE), cols["sketch"], cols["hashes"], similarity)
+        i, j = _exact_forest(_first_of(ends, cols["root"]), bitslice.near_pairs(cols["fp"].view(np.uint64), ends, WIDE), cols["sketch"], cols["hashes"], similarity)
         return np.maximum(cols["node"][i], cols["node"][j]), np.minimum(cols["node"][i], cols["node"][j])
 
     texts = docs.select(F.col(row).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
-    hashed = checkpoint(texts.mapInArrow(sets, "node long, fp long, sketch binary, hashes array<long>"))  # those that are doubtful, and few others
+    made.append(hashed := checkpoint(texts.mapInArrow(sets, "node long, fp long, sketch binary, hashes array<long>")))  # those that are doubtful, and few others
     sized = doubtful.join(hashed.select("node", F.size("hashes").alias("weight")), "node")
-    rows = _tile_pairs(sized, most, "root", weight="weight").join(hashed, "node")
-    return bucket_links(rows.select("key", "node", "root", "fp", "sketch", "hashes"), link)
+    rows = _tile_pairs(sized, most, "weight").join(hashed, "node")
+    made.append(linked := checkpoint(bucket_links(rows.select("key", "node", "root", "fp", "sketch", "hashes"), link)))
+    return linked
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", row: str = "row", hot: int = HOT) -> DataFrame:
     """(row, component): classes of rows whose word shingles are similar; ``component`` is the smallest row of the class.
 
-    ``row`` must name every row differently.  Rows of equal words (letter case and spacing aside) are always in one
-    class, so all null and blank texts are.  Others meet in buckets of a min-wise hash, are compared bit-sliced within
-    ``WIDE`` bits, and link if their sketches estimate a similarity well above the threshold, or about it and the
-    shingles themselves, read again for such pairs, reach it.
-    A bucket over ``hot`` distinct texts is dealt into tiles, in which copies of each other collapse: each tile keeps
-    the roots of the classes that it is sure of.  What is left is bucketed again by a further min-wise hash besides
-    the first, and once more; only texts that still crowd together after three shared hashes meet tile by tile.
+    ``row`` must name every row differently and not be null; it is read as a bigint.  Rows of equal words (letter case
+    and spacing aside) are always in one class, so all null and blank texts are.  Others meet in buckets of a min-wise
+    hash, are compared bit-sliced within ``WIDE`` bits, and link if their sketches estimate a similarity well above the
+    threshold, or about it and the shingles themselves, read again for such pairs, reach it.  Texts are compared whole,
+    of any length; other columns are not read; an empty table gives an empty result.
+
+    No row leaves a bucket unless all that the bucket holds is one class already.  A bucket over ``hot`` texts is dealt
+    into tiles twice, in two ways, so that a group of similar texts becomes one class although no task sees all of it.
+    Where several classes are left, the bucket's rows are bucketed again by a further min-wise hash besides the first,
+    and once more; what is still crowded and of several classes after three shared hashes meets in full.
     """
-    rows = checkpoint(signatures(docs, words, text, row))
-    texts = checkpoint(rows.groupBy("same").agg(F.min("row").alias("node"), F.first(F.struct("fp", "keys", "sketch")).alias("s")).select("same", "node", "s.*"))
-    def link(cols: dict[str, np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        i, j, open_rows, labels = _likely_links(len(ends), bitslice.near_pairs(cols["fp"].view(np.uint64), ends, WIDE), cols["sketch"], similarity)
-        node, sure = cols["node"], np.arange(len(i) + len(open_rows)) < len(i)
-        a, b = np.r_[np.maximum(node[i], node[j]), node[open_rows]], np.r_[np.minimum(node[i], node[j]), node[labels[open_rows]]]
-        return a, b, sure, cols["key"][np.r_[i, open_rows]]  # not sure: a row and its root in the bucket
-
-    found, held = [], texts
-    buckets = checkpoint(texts.select("node", F.lit(-1).alias("by"), F.explode(_numbered(range(KEYS))).alias("k")).select("node", "by", F.xxhash64("k.j", "k.key").alias("key")))
-    for level in range(3):
-        sizes = checkpoint(buckets.groupBy("key").count().where("count > 1"))
-        crowded, work, tiled = sizes.where(F.col("count") > hot), buckets.join(sizes.where(F.col("count") <= hot), "key").select("node", "key"), None
-        if not crowded.isEmpty():
-            tiled = checkpoint(_tiled(buckets.join(crowded.select("key"), "key"), hot))
-            work = work.unionByName(tiled.select("node", F.xxhash64("key", "tile").alias("key")))
-        found.append(checkpoint(bucket_links(work.join(held.select("node", "fp", "sketch"), "node").select("key", "node", "fp", "sketch"), link, ("a", "b", "sure", "key"))))
-        if tiled is None:
+    made = [rows := checkpoint(signatures(docs, words, text, row))]
+    made.append(texts := checkpoint(rows.groupBy("same").agg(F.min("row").alias("node"), F.first(F.struct("fp", "keys", "sketch")).alias("s")).select("same", "node", "s.*")))
+
+    def compared(work: DataFrame, classes: DataFrame | None) -> DataFrame:
+        """(a, b) links that a task finds in its buckets (node, key), between rows of different ``classes``."""
+
+        def link(cols: dict[str, np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, ...]:
+            labels = _first_of(ends, cols["root"])
+            i, j, open_rows = _likely_links(labels, bitslice.near_pairs(cols["fp"].view(np.uint64), ends, WIDE), cols["sketch"], similarity)
+            node, sure = cols["node"], np.arange(len(i) + len(open_rows)) < len(i)
+            a, b = np.r_[np.maximum(node[i], node[j]), node[open_rows]], np.r_[np.minimum(node[i], node[j]), node[labels[open_rows]]]
+            return a, b, sure, cols["key"][np.r_[i, open_rows]]  # not sure: a row and its root in the bucket
+
+        known = _rooted(work.join(texts.select("node", "fp", "sketch"), "node"), classes)
+        made.append(found := checkpoint(bucket_links(known.select("key", "node", "root", "fp", "sketch"), link, ("a", "b", "sure", "key"))))
+        links = found.where("sure = 1").select("a", "b")
+        doubtful = found.where("sure = 0").select("key", F.col("a").alias("node"), F.col("b").alias("root"))
+        return links if doubtful.isEmpty() else links.unionByName(_exact(docs, doubtful, words, similarity, text, row, made))
+
+    classes: DataFrame | None = None
+    buckets = texts.select("node", F.explode(_numbered(0)).alias("k")).select("node", F.xxhash64("k.j", "k.key").alias("key"))
+    for level in range(LEVELS):
+        made.append(buckets := checkpoint(buckets))
+        made.append(sizes := checkpoint(buckets.groupBy("key").count().where("count > 1")))
+        crowded = sizes.where(F.col("count") > hot).withColumn("tiles", F.ceil(F.col("count") / F.lit(hot // 2)))
+        full = not crowded.isEmpty()
+        work = buckets.join(sizes.where(F.col("count") <= hot), "key").select("node", "key")
+        if full:
+            work = work.unionByName(_dealt_twice(buckets.join(crowded.select("key", "tiles"), "key")))
+        links = compared(work, classes)
+        made.append(classes := checkpoint(_joined(links, classes)))
+        if not full:
             break
-        sure = found[-1].where("sure = 1").select(F.col("a").alias("node")).distinct()
-        left = checkpoint(tiled.join(sure, "node", "left_anti").select("node", "by", "key"))
-        held = checkpoint(keep_only(held, left.select("node").distinct(), "node"))
-        if level == 2:
-            crossed = _tile_pairs(left, hot).join(held.select("node", "fp", "sketch"), "node").select("key", "node", "fp", "sketch")
-            found.append(checkpoint(bucket_links(crossed, link, ("a", "b", "sure", "key"))))
+        made.append(left := checkpoint(_unsettled(_rooted(buckets.join(crowded.select("key"), "key"), classes))))
+        if left.isEmpty():
             break
-        finer = left.join(held.select("node", "keys"), "node").select("node", "key", "by", F.explode(_numbered(range(KEYS, 2 * KEYS))).alias("k")).where(F.col("k.j") != F.col("by"))
-        buckets = checkpoint(finer.select("node", F.col("k.j").alias("by"), F.xxhash64("key", "k.j", "k.key").alias("key")))
-    links = reduce(DataFrame.unionByName, found)
-    doubtful = checkpoint(links.where("sure = 0").select("key", F.col("a").alias("node"), F.col("b").alias("root")))
-    checked = _exact(docs, doubtful, words, similarity, text, row)
-    classes = connected_components(links.where("sure = 1").select("a", "b").unionByName(checked))
+        if level == LEVELS - 1:
+            made.append(classes := checkpoint(_joined(compared(_crossed(left, hot), classes), classes)))
+            break
+        finer = left.join(texts.select("node", "keys"), "node").select("node", "key", F.explode(_numbered(level + 1)).alias("k"))
+        buckets = finer.select("node", F.xxhash64("key", "k.j", "k.key").alias("key"))
     named = texts.select("same", "node").join(classes, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
-    return rows.select("row", "same").join(named, "same").select("row", "component")
+    out = checkpoint(rows.select("row", "same").join(named, "same").select("row", "component"))
+    for done in made:
+        release(done)
+    return out
 
 
-def _numbered(which: range) -> Column:
-    return F.array(*[F.struct(F.lit(j).alias("j"), F.col("keys")[j].alias("key")) for j in which])
+def _numbered(level: int) -> Column:
+    """The keys by which a level buckets."""
+    return F.array(*[F.struct(F.lit(j).alias("j"), F.col("keys")[j].alias("key")) for j in range(level * KEYS, (level + 1) * KEYS)])
 
 
-def _tiled(rows: DataFrame, hot: int, weight: str = "1") -> DataFrame:
-    """``rows`` with tiles and tile: their bucket, if its weight is over ``hot``, dealt into tiles of about half of that."""
-    total = F.sum(F.expr(weight))
-    counts = rows.groupBy("key").agg(F.when(total > hot, F.ceil(total / F.lit(hot // 2))).otherwise(F.lit(1).cast("long")).alias("tiles"))
-    return rows.join(counts, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+def _rooted(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """``rows`` (node, ...) with root, the class of their node as far as it is known."""
+    if classes is None:
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(classes, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+
+
+def _joined(links: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """(node, component) of the classes so far and further links."""
+    known = links if classes is None else links.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return connected_components(known)
 
 
-def _tile_pairs(rows: DataFrame, hot: int, *others: str, weight: str = "1") -> DataFrame:
-    """Every pair of a bucket's tiles as a bucket of its own, so that all of its rows meet in tasks of bounded size."""
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """Those of ``rows`` (key, node, root) whose bucket holds more than one class."""
+    mixed = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return rows.join(mixed, "key").select("key", "node", "root")
+
+
+def _dealt_twice(rows: DataFrame) -> DataFrame:
+    """(node, key) of ``rows`` (node, key, tiles): each row in two tiles of its bucket, which other rows share."""
+    ways = F.explode(F.array(F.lit(0), F.lit(1))).alias("way")
+    return rows.select("node", "key", "tiles", ways).select("node", F.xxhash64("key", "way", F.pmod(F.xxhash64("node", "way"), F.col("tiles"))).alias("key"))
+
+
+def _crossed(rows: DataFrame, hot: int) -> DataFrame:
+    """(node, key): buckets of about ``hot`` rows in which any two rows of one bucket of ``rows`` (key, node, root) with different roots meet.
+
+    One of the two is not of the bucket's largest class, so tiles of all rows meet tiles of those alone: where nearly
+    all is one class, each row goes to few buckets.
+    """
+    by_root = rows.groupBy("key", "root").count()
+    shares = by_root.groupBy("key").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("total"))
+    half = F.lit(max(1, hot // 2))
+    tiles = shares.select("key", F.col("most.root").alias("main"), F.ceil(F.col("total") / half).alias("n"), F.ceil((F.col("total") - F.col("most.count")) / half).alias("m"))
+    given = rows.join(tiles, "key")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    every = given.select("key", "node", F.pmod(F.xxhash64("node"), F.col("n")).alias("x"), upto("m").alias("y"))
+    others = given.where("root <> main").select("key", "node", upto("n").alias("x"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")).alias("y"))
+    return every.unionByName(others).select("node", F.xxhash64("key", "x", "y").alias("key")).distinct()
+
+
+def _tile_pairs(rows: DataFrame, most: int, weight: str) -> DataFrame:
+    """``rows`` (key, node, ...) of buckets that weigh over ``most`` dealt into tiles of about half of that, every pair of tiles as a bucket of its own."""
+    total = F.sum(F.expr(weight))
+    counts = rows.groupBy("key").agg(F.when(total > most, F.ceil(total / F.lit(most // 2))).otherwise(F.lit(1).cast("long")).alias("tiles"))
+    tiled = rows.join(counts, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("tiles") - 1, F.lit(0))), lambda t: F.struct(F.least(t, F.col("tile")).alias("x"), F.greatest(t, F.col("tile")).alias("y")))
-    each = _tiled(rows, hot, weight).withColumn("meet", F.explode(meets))
-    return each.select("node", *others, F.xxhash64("key", "meet.x", "meet.y").alias("key"))
+    return tiled.withColumn("meet", F.explode(meets)).select(*[c for c in rows.columns if c != "key"], F.xxhash64("key", "meet.x", "meet.y").alias("key"))

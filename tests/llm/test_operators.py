@@ -178,12 +178,42 @@ def test_copies_with_repeated_lines(spark):
     assert got == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def drifting_families(r, families, size, words, length=120):
+    """Texts that each differ a little from the one before in their family, so that the ends of a family share nothing, and their classes."""
+    texts = []
+    for _ in range(families):
+        own = [r.choice(words) for _ in range(length)]
+        for _ in range(size):
+            for _ in range(r.choice((1, 1, 2))):
+                own[r.randrange(length)] = r.choice(words)
+            texts.append(" ".join(own))
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    return texts, brute_classes(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+
+
+@pytest.mark.parametrize("hot", [8, 16, 32, 4096])
+def test_drifting_families_lose_no_link(spark, hot):
+    texts, roots = drifting_families(random.Random(21), 3, 100, [f"w{i}" for i in range(3000)])
+    got = {x["row"]: x["component"] for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), hot=hot).collect()}
+    assert got == dict(enumerate(roots))
+
+
+def test_large_buckets_of_several_classes_meet_in_full(spark):
+    r = random.Random(4)
+    rows = [(k, n, root) for k, size in ((1, 40), (2, 9)) for n in range(size) for root in (r.choice((0, 0, 0, 0, n)),)]
+    cells = {}
+    for x in simhash._crossed(spark.createDataFrame(rows, "key long, node long, root long"), 6).collect():
+        cells.setdefault(x["key"], set()).add(x["node"])
+    met = {frozenset((a, b)) for c in cells.values() for a in c for b in c if a != b}
+    assert all(frozenset((a, b)) in met for k, a, x in rows for j, b, y in rows if k == j and x != y)
+
+
 def test_exact_check_in_tiles(spark):
     texts, roots = edited_groups(random.Random(6), 4, 30, [f"w{i}" for i in range(3000)], (2, 3))
     rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     doubtful = spark.createDataFrame([(i // 30, i, i) for i in range(len(texts))], "key long, node long, root long")
     for most in (1 << 22, 2000):
-        links = simhash._exact(rows, doubtful, 5, 0.8, "text", "row", most).collect()
+        links = simhash._exact(rows, doubtful, 5, 0.8, "text", "row", [], most).collect()
         joined = {frozenset((x["a"], x["b"])) for x in links}
         assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in joined)
         assert brute_classes(len(texts), lambda i, j, joined=joined: frozenset((i, j)) in joined) == roots
