@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns
+
 BITS = 1 << 24
 
 
@@ -60,12 +62,12 @@ def might_hold(ids: DataFrame, column: str) -> Column:
 def keep_only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """``rows`` whose ``column`` is among the ids (a null is not)."""
     name = ids.columns[0]
-    return rows.where(might_hold(ids, column)).join(ids.select(F.col(name).alias(column)), column, "left_semi").select(*rows.columns)
+    return rows.where(might_hold(ids, column)).join(ids.select(F.col(name).alias(column)), column, "left_semi").select(*columns(rows))
 
 
 def keep_others(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """``rows`` whose ``column`` is not among the ids (a null is not)."""
     name = ids.columns[0]
     might = might_hold(ids, column)
-    doubtful = rows.where(might).join(ids.select(F.col(name).alias(column)), column, "left_anti").select(*rows.columns)
+    doubtful = rows.where(might).join(ids.select(F.col(name).alias(column)), column, "left_anti").select(*columns(rows))
     return rows.where(~might).unionByName(doubtful)

@@ -8,12 +8,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint, pinned, release
 
-__all__ = ["checkpoint", "kept_columns", "kept_texts", "parallel", "pinned", "ragged", "release", "table", "text_chunks", "unkept", "worker_cache"]
+__all__ = ["checkpoint", "column", "columns", "kept_columns", "kept_texts", "own_names", "parallel", "pinned", "ragged", "release", "table", "text_chunks", "unkept", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def own_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no taken column and no name before it is called so (letter case aside)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parallel(spark: SparkSession) -> int:
     """Partitions for a shuffle of small rows."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -72,7 +92,7 @@ def _chunk(part: pa.RecordBatch, column: str) -> tuple[pa.RecordBatch, list[str]
 
 def kept_columns(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:
     """(struct ``kept`` of the columns to keep, text) for a Python stage, with the struct's type; the text is not sent twice."""
-    kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    kept = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(keep)])
     out = df.select(kept.alias("kept"), F.lit(None).cast("string").alias("text") if _is_text(df, keep, text) else F.col(text).cast("string").alias("text"))
     return out, out.schema["kept"].dataType.simpleString()
 
@@ -97,8 +117,9 @@ def kept_texts(df: DataFrame, keep: list[str], text: str, chars: int = 1 << 20)
 
 
 def unkept(df: DataFrame, keep: list[str], *others: str) -> DataFrame:
-    """The kept columns under their names again, and the others."""
-    return df.select(*[F.col("kept")[f"c{i}"].alias(c) for i, c in enumerate(keep)], *others)
+    """The kept columns under their names again, and the others under names that none of those has (``own_names``)."""
+    named = zip(others, own_names(keep, *others), strict=True)
+    return df.select(*[F.col("kept")[f"c{i}"].alias(c) for i, c in enumerate(keep)], *[F.col(o).alias(n) for o, n in named])
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

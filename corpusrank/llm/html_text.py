@@ -446,4 +446,4 @@ def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None =
             yield pa.RecordBatch.from_arrays([kept, pa.array(map(render, sources), pa.string())], names=["kept", "visible"])
 
     found = given.mapInArrow(run, f"kept {schema}, visible string")
-    return unkept(found, keep, F.col("visible").alias("text"))
+    return unkept(found.withColumnRenamed("visible", "text"), keep, "text")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_columns, kept_texts, ragged, unkept
+from .common import column, kept_columns, kept_texts, ragged, unkept
 from .hashindex import HashIndex
 
 ORDER = 4
@@ -25,9 +25,15 @@ ORDER = 4
 TRAIN_DOCS, TRAIN_CHARS = 400, 1 << 15
 #: Bits that an unmodelled byte costs, besides its escapes.
 RAW = 8.0
-#: Bits a byte at which a text is in no learned language: prose takes 2 to 5, text full of numbers and keys up to 8, an
-#: unknown script 20.
+#: At most so many languages are learned, those with the most documents.
+MOST_LANGS = 64
+#: A text of n bytes is in no learned language if its code takes MARGIN bits a byte more than all but the most costly
+#: fiftieth of the learned languages' documents, and CHANCE / sqrt(n) more for the chance of single bytes (8 deviations).
+MARGIN, CHANCE = 2.0, 24.0
+#: The same without documents to tell what is usual: bits a byte.
 REJECT = 10.0
+#: Bytes whose costs are held at a time.
+WINDOW = 1 << 20
 DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
 UNKNOWN = "und"
 
@@ -56,6 +62,7 @@ class ContextTrees:
     """Frozen code lengths of several languages; tables[k] has the n-grams of k + 1 bytes that any of them has seen."""
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
+        self.usual: float | None = None
         self.langs = sorted(texts)
         count = len(self.langs)
         streams = []
@@ -105,10 +112,20 @@ class ContextTrees:
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of each text under each language: float64[texts, languages]."""
         data, starts, sizes = _bytes(texts)
-        costs = self._costs(ORDER, _grams(data, ORDER))
-        upto = np.zeros((len(costs) + 1, len(self.langs)))
-        np.cumsum(costs, axis=0, out=upto[1:])
-        return upto[starts - ORDER + sizes] - upto[starts - ORDER]
+        first, out = starts - ORDER, np.zeros((len(texts), len(self.langs)))
+        for at in range(0, len(data) - ORDER, WINDOW):
+            costs = self._costs(ORDER, _grams(data[at : at + WINDOW + ORDER], ORDER))
+            upto = np.zeros((len(costs) + 1, len(self.langs)))
+            np.cumsum(costs, axis=0, out=upto[1:])
+            here = slice(int(np.searchsorted(first + sizes, at, "right")), int(np.searchsorted(first, at + len(costs), "left")))
+            out[here] += upto[np.minimum(first[here] + sizes[here] - at, len(costs))] - upto[np.maximum(first[here] - at, 0)]
+        return out
+
+    def learn_usual(self, texts: dict[str, list[str]]) -> None:
+        """Take what bits a byte are usual from documents of the learned languages that were not counted (256 characters at least)."""
+        bits = [b for t in texts.values() for _, _, b in predict_texts(self, [x for x in t if len(x) >= 256])]
+        if bits:
+            self.usual = float(np.quantile(bits, 0.98))
 
 
 def is_held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -116,24 +133,28 @@ def is_held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, text: str = "text", lang: str = "lang", row: str = "doc_id") -> ContextTrees:
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, most_langs: int = MOST_LANGS, text: str = "text", lang: str = "lang", row: str = "doc_id") -> ContextTrees:
     """Fit the context trees on a bounded sample of the rows that are not held out and have a language.
 
     Each language gives at most ``train_docs`` whole documents of at most ``train_chars`` characters, drawn by a hash
-    of id and text, so that the driver receives a bounded number of characters for each language.
+    of id and text, and the driver draws half as many more, by which ``learn_usual`` sets what code length is usual (a
+    fourth of the documents, where a language has no more).  The ``most_langs`` languages with the most documents are
+    learned, of as many documents the first by name.  Null texts and languages and empty texts are left out; repeated
+    rows count each; other columns are not read.  Without a row that serves, the model has no language.
     """
     fit = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(row), F.lit(1)).alias("draw"), is_held_out(row).alias("out"))
     fit = fit.where(~F.col("out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).where(F.length("text").between(1, train_chars))
-    counts = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = fit.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
     texts: dict[str, list[str]] = {}
     if counts:
-        part = F.lit(0.0)
-        for name, n in counts.items():
-            part = F.when(F.col("lang") == name, F.lit(min(1.0, 1.5 * train_docs / n))).otherwise(part)
-        drawn = fit.where(F.pmod("draw", F.lit(1 << 20)) < part * (1 << 20)).select("lang", "draw", "text")
+        shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * train_docs / r["n"])) for r in counts], "lang string, share double")
+        drawn = fit.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "draw", "text")
         for name, _, value in sorted(drawn.collect(), key=lambda r: (r[0], r[1], r[2])):
             texts.setdefault(name, []).append(value)
-    return ContextTrees({name: own[:train_docs] for name, own in texts.items()})
+    counted = {name: min(train_docs, -(-3 * len(own) // 4)) for name, own in texts.items()}
+    model = ContextTrees({name: own[: counted[name]] for name, own in texts.items()})
+    model.learn_usual({name: own[counted[name] :] for name, own in texts.items()})
+    return model
 
 
 def predict_texts(model: ContextTrees, texts: list[str | None]) -> list[tuple[str, float, float]]:
@@ -156,7 +177,8 @@ def identify(docs: DataFrame, model: ContextTrees, text: str = "text", keep: lis
     score is the posterior of the best language under equal priors, from the whole text's code lengths; bits_per_byte
     is the best code length over the text's bytes.  A null text or one without a
     letter is ``und`` with score 0; so is any text if no language was learned.  Ties go to the language that sorts first.
-    Rows are kept as they are; an empty table gives an empty result.
+    Rows are kept as they are, with texts of any length; of a kept column that is called like a new one, the new one
+    gets underscores (``own_names``).  An empty table gives an empty result.
     """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
@@ -172,6 +194,9 @@ def identify(docs: DataFrame, model: ContextTrees, text: str = "text", keep: lis
     return unkept(found, keep, "lang_pred", "score", "bits_per_byte")
 
 
-def accepted(lang_pred: str = "lang_pred", bits: str = "bits_per_byte") -> Column:
-    """What a corpus filter keeps: a language was found, and its code takes fewer than ``REJECT`` bits a byte."""
-    return (F.col(lang_pred) != UNKNOWN) & (F.col(bits) < REJECT)
+def accepted(model: ContextTrees, lang_pred: str = "lang_pred", bits: str = "bits_per_byte", text: str = "text") -> Column:
+    """What a corpus filter keeps: a language was found, and the code is not longer than texts of a learned language take."""
+    limit = F.lit(REJECT)
+    if model.usual is not None:
+        limit = model.usual + MARGIN + CHANCE / F.sqrt(F.octet_length(column(text)))
+    return (column(lang_pred) != UNKNOWN) & (column(bits) < limit)
