@@ -8,12 +8,12 @@ BINS = 16
 
 
 class BoostedTrees:
-    """Logistic boosting with trees of fixed depth over quantile bins; ``calibrate`` sets the score's threshold."""
+    """Logistic boosting with trees of fixed depth over quantile bins; ``calibrate`` sets the score's threshold for each group of rows."""
 
     def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, ridge: float = 1.0) -> None:
         self.rounds, self.depth, self.rate, self.ridge = rounds, depth, rate, ridge
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.base, self.threshold = 0.0, 0.5
+        self.base, self.thresholds = 0.0, {}
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         x, y = np.asarray(x, float), np.asarray(y, float)
@@ -71,11 +71,13 @@ class BoostedTrees:
             raw += leaf[node - len(feature)]
         return 1 / (1 + np.exp(-raw))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float) -> BoostedTrees:
-        """The lowest threshold whose selection on held-out rows, and that of every higher one, keeps the precision."""
-        score = self.score(x)
-        order = np.argsort(-score, kind="stable")
-        right = np.cumsum(np.asarray(y, float)[order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(np.minimum.accumulate(right) >= precision)
-        self.threshold = float(score[order[good[-1]]]) if len(good) else 2.0
+    def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float, groups: np.ndarray) -> BoostedTrees:
+        """``thresholds``: for each group the lowest one (0.5 at least) whose selection on held-out rows, and that of every higher one, keeps the precision."""
+        score, y = self.score(x), np.asarray(y, float)
+        for group in np.unique(groups).tolist():
+            own = np.flatnonzero(groups == group)
+            order = own[np.argsort(-score[own], kind="stable")]
+            right = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
+            good = np.flatnonzero(np.minimum.accumulate(right) >= precision)
+            self.thresholds[group] = max(0.5, float(score[order[good[-1]]])) if len(good) else 2.0
         return self
