@@ -316,16 +316,16 @@ def test_op4_against_sql(spark, data):
     assert sorted(map(tuple, queries.op4_exact_topk(spark, data).collect())) == want
 
 
-@pytest.mark.parametrize("slices,block", [(4, 4096), (1, 2), (3, 3)])
+@pytest.mark.parametrize("slices,block", [(4, 1 << 25), (1, 96), (3, 150)])
 def test_topk_ties_and_nulls(spark, slices, block):
     r = random.Random(slices)
     rows = [(i, [r.choice([-0.5, 0.25, 0.5]) for _ in range(5)]) for i in range(150)] + [(i, [0.5] * 5) for i in range(150, 220)]
-    rows += [(300, None), (301, [0.1, None, 0.1, 0.1, 0.1]), (302, [float("nan")] * 5), (303, [float("inf")] * 5), (None, [1.0] * 5), (304, [1.0]), (305, []), (306, [3e38] * 5), (310, [0.5] * 5), (310, [0.5] * 5)]
+    rows += [(300, None), (301, [0.1, None, 0.1, 0.1, 0.1]), (302, [float("nan")] * 5), (303, [float("inf")] * 5), (None, [1.0] * 5), (304, [1.0]), (305, []), (306, [3e38] * 5), (307, [-2.0**40, 2.0**40, 0.5, 0.0, 0.0]), (320, [2.0**45, 0.0, -(2.0**100), 2.0**100, 0.0]), (310, [0.5] * 5), (310, [0.5] * 5)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
-    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v and len(v) == 5 and all(x is not None and np.isfinite(x) and abs(x) < 1e6 for x in v)]
+    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v and len(v) == 5 and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, v in {i: v for i, v in good if i % 10 == 0}.items():
-        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)[:10]
+        scored = sorted((-max(2 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in good if i != q)[:10]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     got = topk.top_k(table, table.where("vec_id % 10 = 0 AND vec_id <> 300"), 10, slices, block)
     assert sorted(x for x in map(tuple, got.collect()) if x[0] != 305) == sorted(want)
@@ -334,6 +334,28 @@ def test_topk_ties_and_nulls(spark, slices, block):
     assert topk.top_k(few.where("false"), few).count() == 0 and topk.top_k(few, few.where("false")).count() == 0
 
 
+def test_topk_cutoff_prunes_work():
+    r = np.random.default_rng(3)
+    rows = np.floor(1024 * r.normal(size=(4000, 64)) * r.lognormal(0, 0.7, size=(4000, 1)))
+    ids, queries = np.arange(4000), rows[:40]
+    cuts = [slice(16 * i, 16 * i + 16) for i in range(4)]
+    first, lists = topk._Lists(ids[:40], 10), topk._Lists(ids[:40], 10)
+    for turn, at in enumerate(range(0, 4000, 500)):
+        topk._local_lists(rows[at : at + 500], ids[at : at + 500], queries, cuts[turn % 4], slice(0, 40), first)
+    made, whole = topk._above(rows, ids, queries, cuts, first.scores[:, -1], slice(0, 40), lists)
+    exact = queries @ rows.T
+    exact[np.arange(40), np.arange(40)] = -np.inf
+    best = np.sort(exact, axis=1)[:, ::-1][:, :10]
+    assert (lists.scores == best).all() and (first.scores[:, -1] <= best[:, -1]).all()
+    assert made < 0.8 * 4 * 40 * 4000 and whole < 0.2 * 40 * 4000  # of all products of slices, and of all whole scores
+
+
+def test_topk_keeps_the_least_of_repeated_queries(spark):
+    table = spark.createDataFrame([(0, [2.0]), (0, [1.0]), (1, [3.0]), (None, [9.0])], "vec_id long, embedding array<float>").selectExpr("*", "1 AS query_id", "2 AS score", "3 AS rank", "4 AS d")
+    got = sorted(map(tuple, topk.top_k(table, table.where("vec_id = 0")).collect()))
+    assert got == [(0, 1, 1, 3 * 1024 * 1024)]
+
+
 # ---- 5 --------------------------------------------------------------------------------------------------------------
 
 
