@@ -25,6 +25,8 @@ BASES = (1_000_003_241, 1_610_612_741)
 SPAN = 16
 SLOTS = 64
 WHOLE = 16
+#: Code points worked on at a time; what stays of a text is 8 bytes a code point, and as much again for the powers.
+CHUNK = 1 << 18
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -38,17 +40,24 @@ class Powers:
     """base^i and base^-i modulo 2^31 - 1, extended when a longer text comes."""
 
     def __init__(self, base: int) -> None:
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.base, self.up, self.down = base, np.ones(1, np.uint32), np.ones(1, np.uint32)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.up) < n:
             size = len(self.up)
             step = pow(self.base, size, int(PRIME))
-            self.up = np.r_[self.up, _mod(self.up * np.uint64(step))]
-            self.down = np.r_[self.down, _mod(self.down * np.uint64(pow(step, -1, int(PRIME))))]
+            self.up = np.r_[self.up, _times(self.up[: n - size], step)]
+            self.down = np.r_[self.down, _times(self.down[: n - size], pow(step, -1, int(PRIME)))]
         return self.up, self.down
 
 
+def _times(x: np.ndarray, by: int) -> np.ndarray:
+    out = np.empty(len(x), np.uint32)
+    for at in range(0, len(x), CHUNK):
+        out[at : at + CHUNK] = _mod(x[at : at + CHUNK].astype(np.uint64) * np.uint64(by))
+    return out
+
+
 _POWERS = tuple(Powers(b) for b in BASES)
 
 
@@ -57,20 +66,25 @@ class PrefixHash:
 
     def __init__(self, points: np.ndarray) -> None:
         self.n = len(points)
-        values = points.astype(np.uint64) + np.uint64(1)
         self.prefix, self.down = [], []
         for p in _POWERS:
             up, down = p.upto(self.n + 1)
-            sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(_mod(values * up[: self.n]), out=sums[1:])  # below 2^62 for any text that memory holds
-            self.prefix.append(_mod(sums))
+            sums, carry = np.zeros(self.n + 1, np.uint32), np.uint64(0)
+            for at in range(0, self.n, CHUNK):
+                values = points[at : at + CHUNK].astype(np.uint64) + np.uint64(1)
+                part = _mod(np.cumsum(_mod(values * up[at : at + len(values)])) + carry)
+                sums[at + 1 : at + 1 + len(part)] = part
+                carry = part[-1]
+            self.prefix.append(sums)
             self.down.append(down)
 
-    def grams(self, length: int) -> np.ndarray:
-        """62-bit hashes of all spans of this length, in order."""
+    def grams(self, length: int) -> Iterator[np.ndarray]:
+        """62-bit hashes of all spans of this length, in order, in pieces."""
         count = self.n - length + 1
-        a, b = (_mod((p[length:] + PRIME - p[:count]) * d[:count]) for p, d in zip(self.prefix, self.down, strict=True))
-        return a << np.uint64(31) | b
+        for at in range(0, count, CHUNK):
+            to = min(count, at + CHUNK)
+            a, b = (_mod((p[at + length : to + length] + PRIME - p[at:to]) * d[at:to]) for p, d in zip(self.prefix, self.down, strict=True))
+            yield a << np.uint64(31) | b
 
     def span(self, start: int, length: int) -> int:
         """62-bit hash of the span [start, start + length), the same wherever its text stands."""
@@ -101,15 +115,17 @@ def sketch(prefix: PrefixHash) -> np.ndarray:
     """The least SLOTS distinct scrambled hashes of the text's spans, rising; a short text is one span, an empty one has none."""
     if not prefix.n:
         return np.zeros(0, np.uint32)
-    hashes = prefix.grams(min(SPAN, prefix.n))
-    mixed = ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-    want = SLOTS
-    while True:
-        least = mixed if want >= len(mixed) else np.partition(mixed, want - 1)[:want]
-        kept = np.unique(least)
-        if len(kept) >= SLOTS or want >= len(mixed):
-            return kept[:SLOTS]
-        want *= 2
+    kept = np.zeros(0, np.uint32)
+    for hashes in prefix.grams(min(SPAN, prefix.n)):
+        mixed = ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+        want = SLOTS
+        while True:
+            least = np.unique(mixed if want >= len(mixed) else np.partition(mixed, want - 1)[:want])
+            if len(least) >= SLOTS or want >= len(mixed):
+                break
+            want *= 2
+        kept = np.union1d(kept, least)[:SLOTS]
+    return kept
 
 
 def fingerprint(text: str, prefix: PrefixHash | None = None) -> str:
@@ -164,7 +180,8 @@ def compare_with_next(docs: DataFrame, text: str = "text", row: str = "doc_id")
     The next document is the one with the next smaller id; the last is followed by the first.  Columns: ``SCHEMA``;
     same_edited and same_next are the longest common extensions from the two texts' starts.  Null texts are empty.
     Rows without an id come after all others; rows of one id follow in the order of a hash of their texts.  Alone, a
-    document follows itself.
+    document follows itself.  Other columns are not read; an empty table gives an empty result.  A text of any length
+    is hashed whole: with the next text, the edited text and the powers it takes about 40 bytes a code point.
 
     The texts are shuffled once, by ranges of ids that a scan of the ids alone has settled; each range also receives
     the row that follows its last one, so that no range waits for another and no single task orders the table.

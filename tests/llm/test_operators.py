@@ -262,6 +262,37 @@ def test_prefix_hashes():
     assert fingerprint.likeness(fingerprint.fingerprint(""), fingerprint.fingerprint("a")) == 0.0
 
 
+def test_op2_likeness_against_exact_spans(spark, data):
+    spans = lambda t: {t[i : i + 16] for i in range(max(1, len(t) - 15))} if t else set()
+    rows, got = documents(data)[::-1], {x["doc_id"]: x for x in queries.op2_document_fingerprints(spark, data).collect()}
+    off = []
+    for k, (i, t, _) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        for name, other in (("near_edited", fingerprint.edited(t, after)), ("near_next", after)):
+            x, y = spans(t), spans(other)
+            off.append(abs(got[i][name] - (1.0 if t == other else len(x & y) / len(x | y) if x | y else 1.0)))
+    assert np.mean(off) < 0.03 and max(off) < 0.25  # 64 values: a deviation of 0.06 at most
+
+
+def test_op2_order_of_repeated_and_null_ids(spark, odd):
+    texts = [(r["doc_id"], r["text"] or "", r["h"]) for r in odd.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS h").collect()]
+    texts.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[2], r[1]))
+    want = []
+    for k, (i, t, _) in enumerate(texts):
+        changed = fingerprint.edited(t, texts[(k + 1) % len(texts)][1])
+        want.append((i, len(t), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()))
+    assert sorted(map(tuple, fingerprint.compare_with_next(odd).select("row", "n_chars", "edited_sha256").collect()), key=str) == sorted(want, key=str)
+
+
+def test_prefix_arrays_of_long_texts():
+    t = "".join(random.Random(2).choices("ab\u00e9\U0001f600", k=fingerprint.CHUNK * 2 + 77))
+    x, y = fingerprint.PrefixHash(fingerprint.code_points(t)), fingerprint.PrefixHash(fingerprint.code_points("zz" + t))
+    assert x.common_extension(0, y, 2) == len(t) and x.equal(fingerprint.CHUNK - 5, y, fingerprint.CHUNK - 3, 40) and not x.equal(0, y, 1, 40)
+    whole = np.concatenate(list(x.grams(16)))
+    mixed = np.unique(((whole ^ (whole >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
+    assert (fingerprint.sketch(x) == mixed[: fingerprint.SLOTS]).all() and len(whole) == len(t) - 15
+
+
 def test_op2_edges(spark, odd, empty):
     got = fingerprint.compare_with_next(odd)
     assert got.count() == odd.count() and fingerprint.compare_with_next(empty).count() == 0
