@@ -12,9 +12,11 @@ _local: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; without one (tests), a local folder."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where the master is local (tests), a local folder will do."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not named and master.partition("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir is not set: on {master} what one executor writes to its own disk is lost to the others")
     if not named and app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="corpusrank-")
     return f"{(named or _local[app]).rstrip('/')}/corpusrank-{app}"

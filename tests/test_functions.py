@@ -68,3 +68,27 @@ def test_join_url(spark):
 def test_scoring_expressions(spark):
     row = spark.range(1).select(text.log_tf(F.lit(0)), text.log_tf(F.lit(1)), text.idf(10, F.lit(0)), text.idf(10, F.lit(10)), text.idf(10, F.lit(20))).first()
     assert row[:4] == (0.0, 1.0, 0.0, 0.0) and row[4] < 0
+
+
+def test_a_cluster_needs_a_shared_folder(tmp_path):
+    from types import SimpleNamespace
+
+    from corpusrank.plans import lineage
+
+    def session(master, folder):
+        context = SimpleNamespace(applicationId="app-test", master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: folder))
+
+    assert lineage.checkpoint_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y/corpusrank-app-test"
+    assert lineage.checkpoint_dir(session("local[4]", None)).endswith("corpusrank-app-test")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(RuntimeError):
+            lineage.checkpoint_dir(session(master, None))
+
+
+def test_core_queries_survive_a_missing_dependency():
+    import subprocess
+    import sys
+
+    hide = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert 'search_batch' in e.queries() and not any(q.startswith('op1_') for q in e.queries())"
+    assert subprocess.run([sys.executable, "-W", "ignore", "-c", hide], cwd=__file__.rsplit("/", 2)[0], capture_output=True).returncode == 0
