@@ -1,4 +1,4 @@
-"""Porter stemming with the usual extensions, applied to a vocabulary rather than to every token."""
+"""Porter stemming with the usual extensions."""
 
 from __future__ import annotations
 
@@ -140,15 +140,13 @@ def porter_stem(words: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def porter_stem_all(lists: pd.Series) -> pd.Series:
-    """Stems of a column of word lists, for short texts such as queries."""
+    """Stems of a column of word lists; words that come again are remembered by the worker."""
     return lists.map(lambda words: [porter(w) for w in words], na_action="ignore")
 
 
 def stem_terms(rows: DataFrame, term: str = "term") -> DataFrame:
-    """``rows`` with ``term`` replaced by its stem; each distinct word is stemmed once and joined back."""
-    stems = rows.select(F.col(term).alias("__word")).distinct().withColumn("__stem", porter_stem("__word"))
-    joined = rows.join(stems, rows[term].eqNullSafe(stems["__word"]))
-    return joined.withColumn(term, F.col("__stem")).select(*rows.columns)
+    """``rows`` with ``term`` replaced by its stem, row by row where they lie."""
+    return rows.withColumn(term, porter_stem(term))
 
 
 def analyzed(words: Column, analyzer: str) -> Column:

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+import re
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import extract_page
-from ..functions.stem import analyzed, stem_terms
-from ..functions.text import grams, idf, token_positions, words
+from ..functions.stem import analyzed, porter
+from ..functions.text import WORD, grams, idf, token_positions, words
 from ..functions.urls import defragment, is_hidden
 from ..plans.config import BuildConfig
-from ..plans.lineage import checkpoint
+from ..plans.lineage import checkpoint, release
 from .dedup import first_of_equal
 
 
+#: Bytes of a row group: a lookup of a few terms reads few of them.
+BLOCK = 1 << 25
+
+
 @dataclass
 class Index:
     """docs(doc_id, url, content_md5, n_tokens, hidden); postings(term, doc_id, tf, important_tf, positions);
@@ -29,22 +34,29 @@ class Index:
     links: DataFrame
     size: int
     analyzer: str = "stem"
+    #: What building has written besides, to be released when the index is written or no longer read.
+    made: list[DataFrame] = field(default_factory=list)
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: v for f in fields(self) if isinstance(v := getattr(self, f.name), DataFrame)}
 
     def persist(self) -> Index:
-        for table in self.tables().values():
-            table.persist()
+        """Keep docs, which every query joins, in memory; the term tables are read by the few row groups that a query needs."""
+        self.docs.persist()
         return self
 
+    def release(self) -> None:
+        """Delete what building wrote; an index that is not written cannot be read any more."""
+        for done in self.made:
+            release(done)
+
     def write(self, path: str, files: int = 0) -> None:
         """Parquet; term tables are range-partitioned and sorted by term, so that a lookup prunes files and row groups."""
         for name, table in self.tables().items():
             by = {"postings": ["term", "doc_id"], "anchors": ["term", "doc_id"], "ngrams": ["gram", "doc_id"], "terms": ["term"]}.get(name)
             if by:
                 table = (table.repartitionByRange(files, *by) if files else table.repartitionByRange(*by)).sortWithinPartitions(*by)
-            table.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/{name}")
+            table.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").option("parquet.bloom.filter.enabled#gram", "true").option("parquet.block.size", BLOCK).parquet(f"{path}/{name}")
         self.docs.sparkSession.createDataFrame([(self.size, self.analyzer)], "size long, analyzer string").write.mode("overwrite").parquet(f"{path}/about")
 
 
@@ -76,20 +88,34 @@ def term_frequency(tokens: DataFrame, tokens_column: str = "tokens", key: str =
     return tokens.select(key, F.explode(tokens_column).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def together(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` dealt by key: what is counted for each document and word afterwards needs no shuffle of words."""
+    return docs.repartition(key)
+
+
 def postings(tokens: DataFrame, important: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """(term, key, tf, important_tf, positions) from (key, pos, term) and emphasised (key, term) rows; positions rise."""
     both = tokens.select(key, "term", F.col("pos").cast("int").alias("pos"))
     if important is not None:
         both = both.unionByName(important.select(key, "term", F.lit(None).cast("int").alias("pos")))
-    grouped = both.groupBy("term", key).agg(F.count("pos").alias("tf"), F.count_if(F.col("pos").isNull()).alias("important_tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return _posted(both, key)
+
+
+def _posted(rows: DataFrame, key: str) -> DataFrame:
+    """Postings of (key, term, pos), where an emphasised word's pos is null."""
+    grouped = rows.groupBy("term", key).agg(F.count("pos").alias("tf"), F.count_if(F.col("pos").isNull()).alias("important_tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     return grouped.where("tf > 0")
 
 
-def ngrams(tokens: DataFrame, n: int, column: str = "tokens", key: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
-    """(n, gram, key, occ) of token lists; with ``only`` (gram), of those grams alone, which then reach no shuffle."""
+def document_postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``postings`` of (key, tokens, important): a document's words are counted where it lies."""
+    every = F.expr("concat(transform(tokens, (t, i) -> struct(t AS term, i AS pos)), transform(important, t -> struct(t AS term, CAST(NULL AS int) AS pos)))")
+    return _posted(together(docs.select(key, "tokens", "important"), key).select(key, F.inline(every)), key)
+
+
+def ngrams(tokens: DataFrame, n: int, column: str = "tokens", key: str = "doc_id") -> DataFrame:
+    """(n, gram, key, occ) of token lists."""
     every = tokens.select(key, F.explode(grams(column, n)).alias("gram"))
-    if only is not None:
-        every = every.join(only, "gram", "left_semi")
     return every.groupBy("gram", key).agg(F.count("*").alias("occ")).select(F.lit(n).alias("n"), "gram", key, "occ")
 
 
@@ -115,23 +141,25 @@ def build_index(pages: DataFrame, config: BuildConfig = BuildConfig(), html: boo
     else:
         none = F.array().cast("array<string>")
         parsed = kept.select("doc_id", "url", "content_md5", words("content").alias("tokens"), none.alias("important"), none.alias("anchor"), none.alias("hrefs"))
-    parsed = checkpoint(parsed)  # read by every table below; a second parse would cost more than the write
-    tokens = token_positions(parsed)
-    important = parsed.select("doc_id", F.explode("important").alias("term"))
-    anchor = parsed.select("doc_id", F.explode("anchor").alias("term"))
-    if config.analyzer == "stem":
-        tokens, important, anchor = stem_terms(tokens), stem_terms(important), stem_terms(anchor)
-        stemmed = tokens.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda t: t["term"]).alias("tokens"))
-    else:
-        stemmed = parsed.select("doc_id", "tokens")
-    stemmed = checkpoint(stemmed)
+    return index_documents(parsed, config.analyzer)
+
+
+def index_documents(parsed: DataFrame, analyzer: str) -> Index:
+    """The index of (doc_id, url, content_md5, tokens, important, anchor, hrefs), with words of lower case as they stand in the documents.
+
+    Words become terms in their documents' lists, and are counted where the documents lie: no table of single words is
+    shuffled before it has been counted.
+    """
+    terms = [analyzed(F.col(c), analyzer).alias(c) for c in ("tokens", "important", "anchor")]
+    parsed = checkpoint(parsed.select("doc_id", "url", "content_md5", *terms, "hrefs"))  # read by every table below; a second parse would cost more than the write
     docs = parsed.select("doc_id", "url", "content_md5", F.size("tokens").alias("n_tokens"), is_hidden("url").alias("hidden"))
     size = docs.count()
-    grams_ = ngrams(stemmed, 2).unionByName(ngrams(stemmed, 3))
-    anchors = anchor.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    postings_ = checkpoint(postings(tokens, important))
+    postings_ = checkpoint(document_postings(parsed))
+    held = together(parsed.select("doc_id", "tokens"))
+    grams_ = checkpoint(ngrams(held, 2).unionByName(ngrams(held, 3)))
+    anchors = together(parsed.where(F.size("anchor") > 0).select("doc_id", "anchor")).select("doc_id", F.explode("anchor").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     links = parsed.where(F.size("tokens") > 0).select("doc_id", "url", F.explode("hrefs").alias("href")).where("href <> ''")
-    return Index(docs, postings_, grams_, anchors, statistics(size, postings_, grams_, anchors), links, size, config.analyzer)
+    return Index(docs, postings_, grams_, anchors, statistics(size, postings_, grams_, anchors), links, size, analyzer, [parsed, postings_, grams_])
 
 
 def lookup(index: Index, terms: list[str]) -> DataFrame:
@@ -144,6 +172,12 @@ def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
     return queries.select("query_id", analyzed(words("query"), analyzer).alias("terms")).withColumn("n", F.size("terms"))
 
 
+def query_words(query: str, analyzer: str) -> list[str]:
+    """The terms of one query, as ``query_terms`` has them."""
+    found = [w.lower() for w in re.findall(WORD, query)]
+    return [porter(w) for w in found] if analyzer == "stem" else found
+
+
 def export_tsv(postings_: DataFrame) -> DataFrame:
     """One line for each term: the term, a tab, and JSON of its df and postings by document (an export of small indexes)."""
     rows = postings_.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "important_tf", "positions"))).alias("postings"))

@@ -3,20 +3,31 @@
 score = (base * emphasis * nearness + grams + anchors) * (1 + w pagerank) * (1 + w authority), over the documents that
 hold any query word; hidden URLs are left out, ties go to the first query word that found the document, then to the
 smaller id, and of documents that share a URL the best counts.
+
+The words of a batch of up to ``LITERALS`` queries are brought to the driver and sent back as literals: the index is
+sorted by term, so that the scans read the row groups and pages of these words and no others.  A larger batch is
+joined with the index by term.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, log_tf
 from ..plans.config import RankConfig
-from .index import Index, query_terms
+from .index import Index, query_terms, query_words
 
 KEYS = ["query_id", "doc_id"]
+#: Queries of a batch, and words or grams of it, that become literals.
+LITERALS = 4096
+#: Values of one condition that a Parquet scan tests row group by row group; of more it knows only the range.
+TESTED = 10
 
 
 def occurrences(asked: DataFrame) -> DataFrame:
@@ -25,46 +36,130 @@ def occurrences(asked: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "n", "term").agg(F.count("*").alias("qtf"), F.sort_array(F.collect_list("i")).alias("places"))
 
 
-def matches(asked: DataFrame, index: Index) -> DataFrame:
+def is_any(column: str, values: Iterable[str]) -> Column:
+    """Whether the column is one of the values, in conditions that a scan can push down to row groups."""
+    values = sorted(values)
+    tests = [F.col(column).isin(*values[at : at + TESTED]) for at in range(0, len(values), TESTED)]
+    return reduce(Column.__or__, tests) if tests else F.lit(False)
+
+
+@dataclass
+class Wanted:
+    """What a batch of queries looks for, with its weight: terms(query_id, n, term, qtf, places, idf),
+    grams(query_id, n, gram, weight), anchors(query_id, term, weight); for a small batch also the words and grams."""
+
+    terms: DataFrame
+    grams: DataFrame
+    anchors: DataFrame
+    literals: tuple[list[str], list[str], list[str]] | None = None
+
+    def read(self, table: DataFrame, column: str, which: int) -> DataFrame:
+        """The rows of an index table that the batch needs, where it is small enough to say."""
+        return table if self.literals is None else table.where(is_any(column, self.literals[which]))
+
+
+def wanted(asked: DataFrame, index: Index, config: RankConfig) -> Wanted:
+    """The weights of the words and grams of (query_id, terms, n) that the index has."""
+    rows = asked.limit(LITERALS + 1).collect()
+    words = {t for r in rows for t in r["terms"]}
+    every = Counter((r["query_id"], k, "_".join(r["terms"][i : i + k])) for r in rows for k in (2, 3) for i in range(len(r["terms"]) - k + 1))
+    if max(len(rows), len(words), len(every)) > LITERALS:
+        return _joined_wanted(asked, index, config)
+    found = index.terms.where(is_any("term", words | {g for _, _, g in every})).select("kind", "term", "idf", "df", "docs").collect()
+    known = {(r["kind"], r["term"]): r for r in found}
+    spark, terms, anchors = asked.sparkSession, [], []
+    for r in rows:
+        places: dict[str, list[int]] = {}
+        for i, t in enumerate(r["terms"]):
+            places.setdefault(t, []).append(i)
+        for t, at in places.items():
+            if ("term", t) in known:
+                terms.append((r["query_id"], r["n"], t, len(at), at, known["term", t]["idf"]))
+            if ("anchor", t) in known:
+                anchors.append((r["query_id"], t, config.anchor_weight * len(at) * known["anchor", t]["idf"]))
+    rarity = "df" if config.gram_stat == "cf" else "docs"
+    counted = [(q, k, g, times, known[f"gram{k}", g][rarity]) for (q, k, g), times in every.items() if (f"gram{k}", g) in known]
+    by_gram = spark.createDataFrame(counted, "query_id long, n int, gram string, qtf long, count long").select("query_id", "n", "gram", _gram_weight(index, config))
+    return Wanted(
+        spark.createDataFrame(terms, "query_id long, n int, term string, qtf long, places array<int>, idf double"),
+        by_gram,
+        spark.createDataFrame(anchors, "query_id long, term string, weight double"),
+        ([t[2] for t in terms], [g[2] for g in counted], [x[1] for x in anchors]),
+    )
+
+
+def _gram_weight(index: Index, config: RankConfig) -> Column:
+    return (config.gram_weight * F.col("qtf") * F.log(F.lit(index.size) / F.col("count"))).alias("weight")
+
+
+def _joined_wanted(asked: DataFrame, index: Index, config: RankConfig) -> Wanted:
+    """The same for a batch of any size, by joins."""
+    words = occurrences(asked)
+    every = reduce(DataFrame.unionByName, [asked.select("query_id", F.lit(n).alias("n"), F.explode(grams("terms", n)).alias("gram")) for n in (2, 3)])
+    counted = every.groupBy("query_id", "n", "gram").agg(F.count("*").alias("qtf")).withColumn("kind", F.concat(F.lit("gram"), F.col("n")))
+    count = F.col("df" if config.gram_stat == "cf" else "docs").alias("count")
+    of_gram = index.terms.where("kind LIKE 'gram%'").select("kind", F.col("term").alias("gram"), count)
+    of_kind = lambda kind: words.join(index.terms.where(F.col("kind") == kind).select("term", "idf"), "term")
+    return Wanted(
+        of_kind("term"),
+        counted.join(of_gram, ["kind", "gram"]).select("query_id", "n", "gram", _gram_weight(index, config)),
+        of_kind("anchor").select("query_id", "term", (config.anchor_weight * F.col("qtf") * F.col("idf")).alias("weight")),
+    )
+
+
+def matches(want: Wanted, index: Index) -> DataFrame:
     """A row for each query, distinct word and document that holds it; words of a query keep their multiplicity in qtf.
 
-    The query side is small, so the adaptive planner broadcasts it after seeing its size; postings are read by term.
+    The query side is small, so the planner broadcasts it after seeing its size; postings are read by term.
     """
-    df = index.terms.where("kind = 'term'").select("term", "idf")
-    wanted = occurrences(asked).join(df, "term")
-    return wanted.join(index.postings, "term")
+    return want.terms.join(want.read(index.postings, "term", 0), "term")
 
 
-def main_scores(found: DataFrame, config: RankConfig) -> DataFrame:
-    """(query_id, doc_id, base, emphasis, nearness, first) of ``matches``.
+def _match_rows(found: DataFrame) -> DataFrame:
+    """What ``combined`` adds up, of ``matches``."""
+    return found.select(*KEYS, "n", (F.col("qtf") * log_tf("tf") * F.col("idf")).alias("s"), (F.col("qtf") * F.col("important_tf")).cast("double").alias("e"), "positions", "places", F.lit(0.0).alias("extra"))
+
+
+def _extra_rows(found: DataFrame) -> DataFrame:
+    """The same of (query_id, doc_id, score)."""
+    return found.selectExpr(*KEYS, "CAST(NULL AS int) AS n", "0D AS s", "0D AS e", "CAST(NULL AS array<int>) AS positions", "CAST(NULL AS array<int>) AS places", "score AS extra")
+
+
+def combined(rows: DataFrame, config: RankConfig) -> DataFrame:
+    """(query_id, doc_id, base, emphasis, nearness, extra, first) of rows from matches, grams and anchors, by one shuffle.
 
     nearness of a query of several words: m is the first place of any query word in the document; each later word i of
     the query adds ``near_step`` if it stands within ``near_slack`` of m + i; all of them add ``near_all``.
     """
-    per_doc = Window.partitionBy(*KEYS)
-    placed = found.withColumn("m", F.min(F.array_min("positions")).over(per_doc))
-    near = F.size(F.filter("places", lambda i: (i >= 1) & F.exists("positions", lambda p: F.abs(p - F.col("m") - i) <= config.near_slack)))
-    rows = placed.select(*KEYS, "n", (F.col("qtf") * log_tf("tf") * F.col("idf")).alias("s"), (F.col("qtf") * F.col("important_tf")).alias("e"), near.alias("h"), "m", F.array_min("places").alias("first"))
-    grouped = rows.groupBy(*KEYS, "n").agg(F.sum("s").alias("base"), F.sum("e").alias("e"), F.sum("h").alias("h"), F.min("m").alias("m"), F.min("first").alias("first"))
-    nearness = F.when((F.col("n") > 1) & F.col("m").isNotNull(), 1 + config.near_step * F.col("h") + F.when(F.col("h") == F.col("n") - 1, config.near_all).otherwise(0.0)).otherwise(1.0)
-    return grouped.select(*KEYS, "base", (1 + config.important_weight * F.col("e")).alias("emphasis"), nearness.alias("nearness"), "first")
+    placed = rows.withColumn("m", F.min(F.array_min("positions")).over(Window.partitionBy(*KEYS)))
+    near = F.expr(f"size(filter(places, i -> i >= 1 AND exists(positions, p -> abs(p - m - i) <= {config.near_slack})))")
+    each = placed.select(*KEYS, "n", "s", "e", "extra", F.when(F.col("places").isNotNull(), near).alias("h"), F.array_min("places").alias("first"))
+    grouped = each.groupBy(*KEYS).agg(*[F.expr(x) for x in ("sum(s) AS base", "sum(e) AS e", "sum(h) AS h", "sum(extra) AS extra", "max(n) AS n", "min(first) AS first")])
+    nearness = f"CASE WHEN n > 1 THEN 1 + {config.near_step}D * h + CASE WHEN h = n - 1 THEN {config.near_all}D ELSE 0D END ELSE 1D END AS nearness"
+    return grouped.selectExpr(*KEYS, "base", f"1 + {config.important_weight}D * e AS emphasis", nearness, "extra", "first")
+
+
+def main_scores(found: DataFrame, config: RankConfig) -> DataFrame:
+    """(query_id, doc_id, base, emphasis, nearness, first) of ``matches``."""
+    return combined(_match_rows(found), config).drop("extra")
 
 
-def gram_scores(asked: DataFrame, index: Index, config: RankConfig) -> DataFrame:
+def _gram_rows(want: Wanted, index: Index) -> DataFrame:
+    return want.grams.join(want.read(index.ngrams, "gram", 1), ["n", "gram"]).select(*KEYS, (F.col("weight") * F.col("occ")).alias("score"))
+
+
+def _anchor_rows(want: Wanted, index: Index) -> DataFrame:
+    return want.anchors.join(want.read(index.anchors, "term", 2), "term").select(*KEYS, (F.col("weight") * log_tf("tf")).alias("score"))
+
+
+def gram_scores(want: Wanted, index: Index) -> DataFrame:
     """(query_id, doc_id, score) from the query's word pairs and triples, each occurrence in the document counted."""
-    every = reduce(DataFrame.unionByName, [asked.select("query_id", F.lit(n).alias("n"), F.explode(grams("terms", n)).alias("gram")) for n in (2, 3)])
-    wanted = every.groupBy("query_id", "n", "gram").agg(F.count("*").alias("qtf")).withColumn("kind", F.concat(F.lit("gram"), F.col("n")))
-    count = F.col("df") if config.gram_stat == "cf" else F.col("docs")
-    rarity = index.terms.where("kind LIKE 'gram%'").select("kind", F.col("term").alias("gram"), F.log(F.lit(index.size) / count).alias("rarity"))
-    found = wanted.join(rarity, ["kind", "gram"]).join(index.ngrams, ["n", "gram"])
-    return found.groupBy(*KEYS).agg(F.sum(config.gram_weight * F.col("qtf") * F.col("occ") * F.col("rarity")).alias("score"))
+    return _gram_rows(want, index).groupBy(*KEYS).agg(F.sum("score").alias("score"))
 
 
-def anchor_scores(asked: DataFrame, index: Index, config: RankConfig) -> DataFrame:
+def anchor_scores(want: Wanted, index: Index) -> DataFrame:
     """(query_id, doc_id, score) from the words of the document's own links."""
-    rarity = index.terms.where("kind = 'anchor'").select("term", "idf")
-    found = occurrences(asked).join(rarity, "term").join(index.anchors, "term")
-    return found.groupBy(*KEYS).agg(F.sum(config.anchor_weight * F.col("qtf") * log_tf("tf") * F.col("idf")).alias("score"))
+    return _anchor_rows(want, index).groupBy(*KEYS).agg(F.sum("score").alias("score"))
 
 
 def union_scores(parts: list[DataFrame]) -> DataFrame:
@@ -128,9 +223,17 @@ def total_counts(best: DataFrame) -> DataFrame:
 
 def score_queries(queries: DataFrame, index: Index, config: RankConfig = RankConfig(), pagerank: DataFrame | None = None, hits: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """(query_id, doc_id, score, first, url) of every visible match."""
-    asked = query_terms(queries, index.analyzer)
-    main = main_scores(matches(asked, index), config).select(*KEYS, (F.col("base") * F.col("emphasis") * F.col("nearness")).alias("score"), "first")
-    scores = boost(union_scores([main, gram_scores(asked, index, config), anchor_scores(asked, index, config)]), config, pagerank, hits)
+    return _scored(query_terms(queries, index.analyzer), index, config, pagerank, hits, classes)
+
+
+def _scored(asked: DataFrame, index: Index, config: RankConfig, pagerank: DataFrame | None = None, hits: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+    want = wanted(asked, index, config)
+    parts = [_match_rows(matches(want, index))]
+    for which, rows in ((1, _gram_rows), (2, _anchor_rows)):
+        if want.literals is None or want.literals[which]:
+            parts.append(_extra_rows(rows(want, index)))
+    found = combined(reduce(DataFrame.unionByName, parts), config)
+    scores = boost(found.selectExpr(*KEYS, "base * emphasis * nearness + extra AS score", "first"), config, pagerank, hits)
     if config.demote_near_dups and classes is not None:
         scores = demote_duplicates(scores, classes, config)
     return visible(scores, index.docs)
@@ -138,13 +241,19 @@ def score_queries(queries: DataFrame, index: Index, config: RankConfig = RankCon
 
 def search_many(queries: DataFrame, index: Index, config: RankConfig = RankConfig(), k: int | None = None, **signals: DataFrame | None) -> DataFrame:  # noqa: B008
     """(query_id, rank, doc_id, url, score, total_count) for (query_id, query); a query without a word has no rows."""
-    scores = score_queries(queries, index, config, **signals)
+    return _ranked(score_queries(queries, index, config, **signals), config, k)
+
+
+def _ranked(scores: DataFrame, config: RankConfig, k: int | None) -> DataFrame:
     best = best_urls(scores, config)
     return top(best, k or config.top_k).join(total_counts(best), "query_id")
 
 
 def search(query: str, index: Index, config: RankConfig = RankConfig(), k: int | None = None, **signals: DataFrame | None) -> tuple[list[tuple[str, float]], int]:  # noqa: B008
     """([(url, score)], total count) of one query; ([], 0) if it has no word."""
-    queries = index.docs.sparkSession.createDataFrame([(0, query)], "query_id long, query string")
-    rows = search_many(queries, index, config, k, **signals).orderBy("rank").collect()
+    terms = query_words(query, index.analyzer)
+    if not terms:
+        return [], 0
+    asked = index.docs.sparkSession.createDataFrame([(0, terms, len(terms))], "query_id long, terms array<string>, n int")
+    rows = sorted(_ranked(_scored(asked, index, config, **signals), config, k).collect(), key=lambda r: r["rank"])
     return [(r["url"], r["score"]) for r in rows], rows[0]["total_count"] if rows else 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..operators import dedup, graph, index, links, rank
 from ..sources.pages import documents_table, pages_table
 from . import oracles
 from .config import BuildConfig, RankConfig
+from .lineage import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,27 +46,26 @@ def terms_of(spark: SparkSession) -> DataFrame:
     return index.query_terms(asked(spark), "simple")
 
 
-def plain_index(spark: SparkSession, sf_dir: str, asked_only: bool = True) -> index.Index:
-    """documents as an unstemmed index that keeps the table's ids and all rows.
-
-    An index made for one batch needs the batch's words and grams alone (``asked_only``): all other tokens are dropped
-    where they are read, and statistics of a term do not depend on other terms.
-    """
-    held = docs(spark, sf_dir)
-    tokens = text.token_positions(held)
-    only: dict[int, DataFrame | None] = {2: None, 3: None}
-    if asked_only:
-        terms = terms_of(spark)
-        tokens = tokens.join(terms.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
-        only = {n: terms.select(F.explode(text.grams("terms", n)).alias("gram")).distinct() for n in only}
-    postings = index.postings(tokens)
-    grams = index.ngrams(held, 2, only=only[2]).unionByName(index.ngrams(held, 3, only=only[3]))
-    anchors = postings.select("term", "doc_id", "tf").where("false")
-    size = table(spark, sf_dir, "documents").count()
-    url = F.concat(F.lit("http://"), F.col("source"), F.lit(".example.org/"), F.when(F.col("doc_id") % 3 == 0, F.lit("page/")).otherwise("doc/"), F.floor(F.col("doc_id") / 2))
-    named = table(spark, sf_dir, "documents").select("doc_id", url.alias("url")).withColumn("hidden", urls.is_hidden("url"))
-    none = postings.select("doc_id", F.lit("").alias("url"), F.lit("").alias("href")).where("false")
-    return index.Index(named, postings, grams, anchors, index.statistics(size, postings, grams, anchors), none, size, "simple")
+_written: dict[tuple[str, str], str] = {}
+
+
+def plain_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """documents as an unstemmed index that keeps the table's ids and all rows, built and written once in an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _written:
+        path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+        url = F.concat(F.lit("http://"), F.col("source"), F.lit(".example.org/"), F.when(F.col("doc_id") % 3 == 0, F.lit("page/")).otherwise("doc/"), F.floor(F.col("doc_id") / 2))
+        none = F.array().cast("array<string>")
+        parsed = table(spark, sf_dir, "documents").select("doc_id", url.alias("url"), dedup.content_hash("text").alias("content_md5"), text.words("text").alias("tokens"), none.alias("important"), none.alias("anchor"), none.alias("hrefs"))
+        built = index.index_documents(parsed, "simple")
+        built.write(path)
+        built.release()
+        _written[key] = path
+    return index.read_index(spark, _written[key])
+
+
+def wanted(spark: SparkSession, held: index.Index, config: RankConfig = RankConfig()) -> rank.Wanted:  # noqa: B008
+    return rank.wanted(terms_of(spark), held, config)
 
 
 # ---- words and index tables -----------------------------------------------------------------------------------------
@@ -119,7 +120,7 @@ QUERIES["bigram_cf"], QUERIES["trigram_cf"] = _cf(2), _cf(3)
 
 @query
 def posting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.lookup(plain_index(spark, sf_dir, asked_only=False), list(oracles.LOOKUP))
+    found = index.lookup(plain_index(spark, sf_dir), list(oracles.LOOKUP))
     return found.select("term", "doc_id", "tf", "df")
 
 
@@ -254,7 +255,7 @@ def term_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = plain_index(spark, sf_dir)
-    main = rank.main_scores(rank.matches(terms_of(spark), held), RankConfig())
+    main = rank.main_scores(rank.matches(wanted(spark, held), held), RankConfig())
     scores = main.select("query_id", "doc_id", F.col("base").alias("score"), "first").withColumn("url", F.col("doc_id").cast("string"))
     top = rank.rank(scores, RankConfig(digits=6))
     return top.select("query_id", "rank", "doc_id", "score")
@@ -262,13 +263,15 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def proximity_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    main = rank.main_scores(rank.matches(terms_of(spark), plain_index(spark, sf_dir)), RankConfig())
+    held = plain_index(spark, sf_dir)
+    main = rank.main_scores(rank.matches(wanted(spark, held), held), RankConfig())
     return main.select("query_id", "doc_id", F.round("nearness", 6).alias("nearness"))
 
 
 @query
 def ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = rank.gram_scores(terms_of(spark), plain_index(spark, sf_dir), RankConfig())
+    held = plain_index(spark, sf_dir)
+    scores = rank.gram_scores(wanted(spark, held), held)
     return scores.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -278,15 +281,16 @@ def anchor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = index.term_frequency(_parsed(spark, sf_dir), "anchor").select("term", "doc_id", "tf")
     size = table(spark, sf_dir, "pages").count()
     held.anchors, held.terms = anchors, index.statistics(size, held.postings, held.ngrams, anchors)
-    scores = rank.anchor_scores(terms_of(spark), held, RankConfig())
+    scores = rank.anchor_scores(wanted(spark, held), held)
     return scores.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query
 def score_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, config = plain_index(spark, sf_dir), RankConfig()
-    main = rank.main_scores(rank.matches(terms_of(spark), held), config).select("query_id", "doc_id", (F.col("base") * F.col("nearness")).alias("score"), "first")
-    both = rank.union_scores([main, rank.gram_scores(terms_of(spark), held, config)])
+    want = wanted(spark, held)
+    main = rank.main_scores(rank.matches(want, held), config).select("query_id", "doc_id", (F.col("base") * F.col("nearness")).alias("score"), "first")
+    both = rank.union_scores([main, rank.gram_scores(want, held)])
     return both.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("first").cast("int").alias("first"))
 
 
@@ -302,8 +306,7 @@ def cyclic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def rank_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = cyclic(spark, sf_dir)
     scores = nodes.select(F.lit(0).cast("long").alias("query_id"), "doc_id", (1.0 + F.col("doc_id") % 10).alias("score"))
-    some = nodes.where("doc_id % 2 = 0")
-    signals = graph.pagerank(nodes, edges, max_iter=1, tol=None).join(some, "doc_id"), graph.hits(nodes, edges, max_iter=1, tol=None)
+    signals = graph.pagerank(nodes, edges, max_iter=1, tol=None), graph.hits(nodes, edges, max_iter=1, tol=None)
     return rank.boost(scores, RankConfig(), *signals).select("doc_id", F.round("score", 6).alias("score"))
 
 

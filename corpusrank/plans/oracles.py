@@ -103,7 +103,7 @@ SELECT page_id, CASE WHEN host = '' THEN url WHEN len(seg) = 0 THEN bare WHEN le
     "ngram_score": f"WITH {_TOK}, n AS (SELECT count(*) AS n FROM documents), {_Q}, {_GRAM} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(score, 6) AS score FROM gs",
     "anchor_score": f"WITH {_Q}, {_ANCHORS}, n AS (SELECT count(*) AS n FROM pages), df AS (SELECT term, count(*) AS df FROM anc GROUP BY term) SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(sum(1.5::DOUBLE * (1 + ln(tf)) * ln(n / df)), 6) AS score FROM qx JOIN anc USING (term) JOIN df USING (term), n GROUP BY ALL",
     "score_union": f"WITH {_TF}, {_Q}, {_MAIN}, {_GRAM}, {_UNION} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(score, 6) AS score, CAST(first AS INTEGER) AS first FROM un",
-    "rank_boosts": f"WITH {_E3}, {_pr(1)}, {_hits(1)} SELECT nd.doc_id, round((1.0::DOUBLE + nd.doc_id % 10) * (1 + 2.5::DOUBLE * CASE WHEN nd.doc_id % 2 = 0 THEN pr ELSE 0 END) * (1 + 1.5::DOUBLE * authority), 6) AS score FROM nd JOIN p1 USING (doc_id) JOIN a1 USING (doc_id)",
+    "rank_boosts": f"WITH {_E3}, {_pr(1)}, {_hits(1)} SELECT nd.doc_id, round((1.0::DOUBLE + nd.doc_id % 10) * (1 + 2.5::DOUBLE * pr) * (1 + 1.5::DOUBLE * authority), 6) AS score FROM nd JOIN p1 USING (doc_id) JOIN a1 USING (doc_id)",
     "dup_demotion": "WITH s AS (SELECT doc_id, 1.0::DOUBLE + doc_id % 7 AS score, count(*) OVER w AS c, max(1.0::DOUBLE + doc_id % 7) OVER w AS best FROM documents WINDOW w AS (PARTITION BY md5(coalesce(text, '')))) SELECT doc_id, round(CASE WHEN c > 1 AND score < 0.9::DOUBLE * best THEN score * 0.1::DOUBLE ELSE score END, 6) AS score FROM s",
     "url_result_dedup": f"WITH {_SEARCH} SELECT CAST(query_id AS BIGINT) AS query_id, url, doc_id FROM best WHERE r = 1",
     "total_count": f"WITH {_SEARCH} SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS total_count FROM best WHERE r = 1 GROUP BY 1",
