@@ -16,7 +16,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, log_tf
@@ -43,6 +44,17 @@ def is_any(column: str, values: Iterable[str]) -> Column:
     return reduce(Column.__or__, tests) if tests else F.lit(False)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A few rows as a relation whose size the planner knows, and which it broadcasts without a job of its own."""
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema))
+
+
+_ASKED = pa.schema([("query_id", pa.int64()), ("terms", pa.list_(pa.string())), ("n", pa.int32())])
+_TERMS = pa.schema([("query_id", pa.int64()), ("n", pa.int32()), ("term", pa.string()), ("qtf", pa.int64()), ("places", pa.list_(pa.int32())), ("idf", pa.float64())])
+_GRAMS = pa.schema([("query_id", pa.int64()), ("n", pa.int32()), ("gram", pa.string()), ("qtf", pa.int64()), ("count", pa.int64())])
+_ANCHORS = pa.schema([("query_id", pa.int64()), ("term", pa.string()), ("weight", pa.float64())])
+
+
 @dataclass
 class Wanted:
     """What a batch of queries looks for, with its weight: terms(query_id, n, term, qtf, places, idf),
@@ -79,11 +91,11 @@ def wanted(asked: DataFrame, index: Index, config: RankConfig) -> Wanted:
                 anchors.append((r["query_id"], t, config.anchor_weight * len(at) * known["anchor", t]["idf"]))
     rarity = "df" if config.gram_stat == "cf" else "docs"
     counted = [(q, k, g, times, known[f"gram{k}", g][rarity]) for (q, k, g), times in every.items() if (f"gram{k}", g) in known]
-    by_gram = spark.createDataFrame(counted, "query_id long, n int, gram string, qtf long, count long").select("query_id", "n", "gram", _gram_weight(index, config))
+    by_gram = local_table(spark, counted, _GRAMS).select("query_id", "n", "gram", _gram_weight(index, config))
     return Wanted(
-        spark.createDataFrame(terms, "query_id long, n int, term string, qtf long, places array<int>, idf double"),
+        local_table(spark, terms, _TERMS),
         by_gram,
-        spark.createDataFrame(anchors, "query_id long, term string, weight double"),
+        local_table(spark, anchors, _ANCHORS),
         ([t[2] for t in terms], [g[2] for g in counted], [x[1] for x in anchors]),
     )
 
@@ -254,6 +266,6 @@ def search(query: str, index: Index, config: RankConfig = RankConfig(), k: int |
     terms = query_words(query, index.analyzer)
     if not terms:
         return [], 0
-    asked = index.docs.sparkSession.createDataFrame([(0, terms, len(terms))], "query_id long, terms array<string>, n int")
+    asked = local_table(index.docs.sparkSession, [(0, terms, len(terms))], _ASKED)
     rows = sorted(_ranked(_scored(asked, index, config, **signals), config, k).collect(), key=lambda r: r["rank"])
     return [(r["url"], r["score"]) for r in rows], rows[0]["total_count"] if rows else 0

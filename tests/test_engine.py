@@ -133,6 +133,53 @@ def test_graph_goldens(spark):
     assert both(max_iter=5, tol=None) == [(0.0, 0.850633), (0.525735, 0.525672), (0.850628, 0.0), (0.005907, 0.009558)]
 
 
+def test_steps_do_not_shuffle_edges(spark):
+    r = random.Random(8)
+    nodes = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    edges = spark.createDataFrame(sorted({(r.randrange(60), r.randrange(60)) for _ in range(400)}), "src long, dst long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        held, ranks = graph._held(edges.withColumn("w", graph.F.lit(0.5)), "src"), nodes.withColumn("pr", graph.F.lit(1 / 60))
+        held.count()
+        for _ in range(3):
+            ranks = graph._rank_step(held, ranks, nodes, 0.85, 60)
+        plan = ranks._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        exchanges = [x for x in plan.splitlines() if " Exchange " in x]
+        assert exchanges and not any("src" in x for x in exchanges)
+        held.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_boosts_keep_unknown_documents(spark):
+    scores = spark.createDataFrame([(0, 1, 2.0), (0, 2, 3.0)], "query_id long, doc_id long, score double")
+    known = spark.createDataFrame([(1, 0.5, 0.25)], "doc_id long, pr double, authority double")
+    got = {x["doc_id"]: x["score"] for x in rank.boost(scores, RankConfig(), known, known).collect()}
+    assert got == {1: 2.0 * (1 + 2.5 * 0.5) * (1 + 1.5 * 0.25), 2: 3.0}
+
+
+def test_searches_read_their_words_only(spark, tmp_path):
+    texts = [f"word{i % 50} word{i % 7} common" for i in range(200)]
+    index.build_index(plain(spark, texts), SIMPLE, html=False).write(str(tmp_path / "index"))
+    held = index.read_index(spark, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(0, "word3 word5"), (1, "common nowhere")], "query_id long, query string")
+    want = rank.wanted(index.query_terms(queries, "simple"), held, RankConfig())
+    for table, column, which, test in ((held.postings, "term", 0, "In(term, [common,word3,word5])"), (held.ngrams, "gram", 1, "gram")):
+        plan = want.read(table, column, which)._jdf.queryExecution().executedPlan().toString()
+        assert test in plan.split("PushedFilters:")[1]
+    rank_all = lambda: sorted(map(tuple, rank.search_many(queries, held).collect()))
+    few = rank_all()
+    limit, rank.LITERALS = rank.LITERALS, 0
+    try:
+        assert rank_all() == few and few
+    finally:
+        rank.LITERALS = limit
+    many = rank.is_any("term", [f"word{i}" for i in range(35)])
+    assert held.postings.where(many).select("term").distinct().count() == 35
+
+
 def test_empty_graph(spark):
     nodes, edges = spark.createDataFrame([(0,), (1,)], "doc_id long"), spark.createDataFrame([], "src long, dst long")
     assert [x["pr"] for x in graph.pagerank(nodes, edges).collect()] == pytest.approx([0.075, 0.075])
