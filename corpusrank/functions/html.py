@@ -28,6 +28,7 @@ class PageWords(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []
+        self.named: dict[str, int] = {}
         self.emphasis = self.links = self.silent = 0
         self.titled = self.in_title = False
         self.tokens: list[str] = []
@@ -45,6 +46,7 @@ class PageWords(HTMLParser):
         if tag in VOID:
             return
         self.open.append((tag, link))
+        self.named[tag] = self.named.get(tag, 0) + 1
         self._count(tag, link, 1)
         if tag == "title" and not self.titled:
             self.titled = self.in_title = True
@@ -56,10 +58,11 @@ class PageWords(HTMLParser):
         self.silent += by * (tag in SILENT)
 
     def handle_endtag(self, tag: str) -> None:
-        if not any(t == tag for t, _ in self.open):
+        if not self.named.get(tag):
             return
         while True:
             name, link = self.open.pop()
+            self.named[name] -= 1
             self._count(name, link, -1)
             if self.in_title and len(self.open) < self.title_depth:
                 self.in_title = False

@@ -178,12 +178,31 @@ def query_words(query: str, analyzer: str) -> list[str]:
     return [porter(w) for w in found] if analyzer == "stem" else found
 
 
+#: Documents whose postings of a term share a list.
+CHUNK = 1 << 16
+
+
+def posting_lists(postings_: DataFrame, *columns: str) -> DataFrame:
+    """(term, part, docs, postings): a term's postings as lists of struct<doc_id, columns>, by document.
+
+    Each list covers a range of ``CHUNK`` ids, so that no list grows with the corpus.
+    """
+    rows = postings_.withColumn("part", F.floor(F.col("doc_id") / CHUNK))
+    return rows.groupBy("term", "part").agg(F.count("*").alias("docs"), F.sort_array(F.collect_list(F.struct("doc_id", *columns))).alias("postings"))
+
+
 def export_tsv(postings_: DataFrame) -> DataFrame:
-    """One line for each term: the term, a tab, and JSON of its df and postings by document (an export of small indexes)."""
-    rows = postings_.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "important_tf", "positions"))).alias("postings"))
+    """A line for each term and range of documents (``posting_lists``): the term, a tab, and JSON of the term's df and these postings."""
+    df = postings_.groupBy("term").agg(F.count("*").alias("df"))
+    rows = posting_lists(postings_, "tf", "important_tf", "positions").join(df, "term")
     return rows.select(F.concat_ws("\t", "term", F.to_json(F.struct("df", "postings"))).alias("value"))
 
 
+def export_doc_index(docs: DataFrame) -> DataFrame:
+    """A line for each document: a JSON object with its id as key and its URL as value."""
+    return docs.select(F.to_json(F.create_map(F.col("doc_id").cast("string"), "url")).alias("value"))
+
+
 def index_stats(spark: SparkSession, index: Index, path: str | None = None) -> DataFrame:
     """(num_documents, num_unique_terms, index_size_kb); the size is that of the written index, 0 without one."""
     size = 0

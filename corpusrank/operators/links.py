@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import join_url
 
+#: Ids whose versions and links of one URL meet in a task.
+SPAN = 1 << 16
+
 
 def target_urls(links: DataFrame) -> DataFrame:
     """(doc_id, target): references resolved against their page and cut at #; empty and unresolvable ones are left out."""
@@ -20,25 +23,22 @@ def resolve_links(targets: DataFrame, docs: DataFrame, resolve: str = "asof") ->
     "asof": the latest document of the URL whose id is not above the linking one's, so links to later pages are lost
     and a link to the page's own URL is a self-loop.  "corpus": the latest document of the URL.
 
-    As-of resolution looks up the versions of a URL within the link's range of ids, and where there is none before the
-    link, the last version of the ranges before.  A URL's versions are never multiplied by its links.
+    As-of resolution sorts the versions of a URL and its links together, in ranges of ids, so that a URL with very many
+    of either does not meet in one task; a link without a version in its range takes the last of the ranges before.
     """
     if resolve == "corpus":
         latest = docs.groupBy("url").agg(F.max("doc_id").alias("dst"))
         return targets.distinct().join(latest, F.col("target") == F.col("url")).select(F.col("doc_id").alias("src"), "dst").distinct()
     if resolve != "asof":
         raise ValueError(f"resolve: {resolve}")
-    # ranges keep a URL with very many versions or links from meeting in one task
-    span = 1 << 16
-    versions = docs.select("url", F.col("doc_id").alias("at"))
     wanted = targets.select(F.col("target").alias("url"), F.col("doc_id").alias("at")).distinct()
-    exact = versions.groupBy("url", F.floor(F.col("at") / span).alias("range")).agg(F.sort_array(F.collect_set("at")).alias("ids"))
-    asked = wanted.withColumn("range", F.floor(F.col("at") / span))
-    inside = asked.join(exact, ["url", "range"], "left").withColumn("dst", F.array_max(F.filter("ids", lambda i: i <= F.col("at")))).drop("ids")
+    versions = docs.select("url", F.col("doc_id").alias("at"), F.col("doc_id").alias("version")).unionByName(wanted.withColumn("version", F.lit(None).cast("long")))
+    ranged = versions.withColumn("range", F.floor(F.col("at") / SPAN))
+    upto = Window.partitionBy("url", "range").orderBy("at", F.col("version").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ranged.withColumn("dst", F.last("version", ignorenulls=True).over(upto)).where("version IS NULL")
     found = inside.where("dst IS NOT NULL").select("at", "dst")
     left = inside.where("dst IS NULL").select("url", "range", "at")
-    needed = left.select("url", "range", F.lit(None).cast("long").alias("last"))
-    seen = exact.select("url", "range", F.array_max("ids").alias("last")).unionByName(needed).groupBy("url", "range").agg(F.max("last").alias("last"))
+    seen = ranged.groupBy("url", "range").agg(F.max("version").alias("last"))
     before = Window.partitionBy("url").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of ids
     earlier = seen.select("url", "range", F.max("last").over(before).alias("dst")).where("dst IS NOT NULL")
     older = left.join(earlier, ["url", "range"]).select("at", "dst")

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
+from ..functions import format, text, urls
 from ..functions.html import extract_page
 from ..functions.stem import porter_stem
 from ..operators import dedup, graph, index, links, rank
-from ..sources.pages import documents_table, pages_table
+from ..sources.pages import documents_table, pages_table, parsed_records, query_lines, with_defaults
 from . import oracles
 from .config import BuildConfig, RankConfig
 from .lineage import checkpoint_dir
@@ -96,9 +96,16 @@ def position_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def postings_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = index.term_frequency(docs(spark, sf_dir))
-    grouped = tf.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
-    return grouped.select("term", "df", F.array_join(F.transform("p", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("postings"))
+    lists = index.posting_lists(index.term_frequency(docs(spark, sf_dir)), "tf")
+    return lists.select("term", "part", "docs", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("postings"))
+
+
+@query
+def empty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document counts; those without a word have no postings."""
+    held = plain_index(spark, sf_dir)
+    posted = held.postings.groupBy("doc_id").agg(F.sum("tf").alias("posted"))
+    return held.docs.join(posted, "doc_id", "left").select("doc_id", "n_tokens", F.coalesce("posted", F.lit(0)).cast("long").alias("posted"))
 
 
 @query
@@ -186,6 +193,28 @@ def _pages(spark: SparkSession, sf_dir: str, column: Column, name: str) -> DataF
     return table(spark, sf_dir, "pages").select("page_id", column.alias(name))
 
 
+@query
+def page_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as JSON records, some without url or content, and what the reader makes of them."""
+    page, some = table(spark, sf_dir, "pages"), lambda n, c: F.when(F.col("page_id") % n > 0, F.col(c))
+    record = F.to_json(F.struct(some(3, "url").alias("url"), some(5, "html").alias("content")))
+    files = page.select(F.concat(F.lit("in/"), "page_id", F.lit(".json")).alias("path"), record.alias("value"))
+    read = with_defaults(parsed_records(files).where("_corrupt_record IS NULL"))
+    return read.select("path", "url", F.md5("content").alias("content_md5"))
+
+
+@query
+def query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document read as a query file."""
+    return query_lines(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value")), "doc_id").withColumn("query_id", F.col("query_id").cast("long"))
+
+
+@query
+def result_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs_ = table(spark, sf_dir, "documents")
+    return docs_.select("doc_id", format.shown_time(F.col("n_chars") / 700.0).alias("time"), format.shown_score(F.col("n_chars") / 7.0).alias("score"))
+
+
 @query
 def url_defragment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir, urls.defragment("url"), "url")
@@ -208,7 +237,7 @@ def url_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def display_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir, urls.display_url("url", 30), "display_url")
+    return table(spark, sf_dir, "pages").select("page_id", urls.display_url().alias("display_url"), urls.display_url("url", 30).alias("short_url"))
 
 
 @query

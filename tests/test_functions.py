@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from corpusrank.functions import text, urls
+from corpusrank.functions import format, text, urls
 from corpusrank.functions.html import page_words
 from corpusrank.functions.stem import porter, stem_terms
 
@@ -92,3 +92,16 @@ def test_core_queries_survive_a_missing_dependency():
 
     hide = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert 'search_batch' in e.queries() and not any(q.startswith('op1_') for q in e.queries())"
     assert subprocess.run([sys.executable, "-W", "ignore", "-c", hide], cwd=__file__.rsplit("/", 2)[0], capture_output=True).returncode == 0
+
+
+def test_unclosed_tags_are_linear():
+    import time
+
+    start = time.perf_counter()
+    assert len(page_words("<i>x</b>" * 20000)[0]) == 20000
+    assert time.perf_counter() - start < 3
+
+
+def test_result_formats(spark):
+    rows = spark.createDataFrame([(0.2, 1.006), (0.999, 12.3456), (1.0, 0.0), (12.5, 3.999)], "ms double, score double").select(format.shown_time("ms").alias("t"), format.shown_score("score").alias("s"))
+    assert [tuple(r) for r in rows.collect()] == [("< 1", "1.01"), ("< 1", "12.35"), ("1", "0.00"), ("13", "4.00")]
