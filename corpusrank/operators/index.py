@@ -159,7 +159,8 @@ def index_documents(parsed: DataFrame, analyzer: str) -> Index:
     grams_ = checkpoint(ngrams(held, 2).unionByName(ngrams(held, 3)))
     anchors = together(parsed.where(F.size("anchor") > 0).select("doc_id", "anchor")).select("doc_id", F.explode("anchor").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     links = parsed.where(F.size("tokens") > 0).select("doc_id", "url", F.explode("hrefs").alias("href")).where("href <> ''")
-    return Index(docs, postings_, grams_, anchors, statistics(size, postings_, grams_, anchors), links, size, analyzer, [parsed, postings_, grams_])
+    terms = checkpoint(statistics(size, postings_, grams_, anchors))
+    return Index(docs, postings_, grams_, anchors, terms, links, size, analyzer, [parsed, postings_, grams_, terms])
 
 
 def lookup(index: Index, terms: list[str]) -> DataFrame:

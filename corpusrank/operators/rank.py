@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, log_tf
@@ -266,6 +266,10 @@ def search(query: str, index: Index, config: RankConfig = RankConfig(), k: int |
     terms = query_words(query, index.analyzer)
     if not terms:
         return [], 0
-    asked = local_table(index.docs.sparkSession, [(0, terms, len(terms))], _ASKED)
-    rows = sorted(_ranked(_scored(asked, index, config, **signals), config, k).collect(), key=lambda r: r["rank"])
-    return [(r["url"], r["score"]) for r in rows], rows[0]["total_count"] if rows else 0
+    spark = index.docs.sparkSession
+    asked = local_table(spark, [(0, terms, len(terms))], _ASKED)
+    # one query needs no window: its rows are counted as they pass into the cut at k
+    counted = Observation()
+    best = best_urls(_scored(asked, index, config, **signals), config).observe(counted, F.count("*").alias("total"))
+    rows = best.orderBy(F.desc("score"), "first", "doc_id").limit(k or config.top_k).select("url", "score").collect()
+    return [(r["url"], r["score"]) for r in rows], counted.get["total"]
