@@ -2,6 +2,8 @@
 
 The output has all text that a page shows: blocks on lines of their own with blank lines between paragraphs, list
 items with bullets or numbers and hanging indents, preformatted text as written, and table cells in aligned columns.
+Formulas, the labels of drawings and the shown option of a menu are text that a page shows, too; what a form's fields
+are filled with is not taken for the page's text.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ _UNSEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
 DECODED = frozenset(("textarea", "title"))
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea area base link meta param source track rp".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas annotation annotation-xml datalist textarea area base link meta param source track rp".split())
 HEAD = frozenset("base link meta noscript script style template title head html".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 BLOCK = CLOSES_P | frozenset("html body tr caption thead tbody tfoot td th optgroup option legend".split())
@@ -159,8 +161,8 @@ class TreeBuilder:
             self.stack[-1].children.append(node)
         else:
             self.push(node)
-            if closed and name in ("svg", "math", "path"):
-                self.stack.pop()
+            if closed and any(n.tag in ("svg", "math") for n in self.stack):
+                self.stack.remove(node)
 
     def push(self, node: Node) -> None:
         self.stack[-1].children.append(node)
@@ -279,6 +281,29 @@ def _number(value: str | None, default: int) -> int:
     return int(m[1]) if m else default
 
 
+def _shown_children(node: Node) -> list[Node | str]:
+    """The children that a page lays out: of a menu those of its shown option, of a drawing its labels."""
+    if node.tag == "select" and "multiple" not in node.attrs and _number(node.attrs.get("size"), 1) <= 1:
+        options = _within(node, ("option",))
+        chosen = next((x for x in reversed(options) if "selected" in x.attrs), options[0] if options else None)
+        return chosen.children if chosen is not None else []
+    if node.tag == "svg":
+        return [x for label in _within(node, ("text", "foreignobject")) for x in (" ", label)]
+    return node.children
+
+
+def _within(node: Node, tags: tuple[str, ...]) -> list[Node]:
+    """The outermost elements of these tags that are laid out, in order."""
+    out, todo = [], [node]
+    while todo:
+        top = todo.pop()
+        if top.tag in tags:
+            out.append(top)
+        else:
+            todo.extend(c for c in reversed(top.children) if not isinstance(c, str) and _sees(c, True) is not None)
+    return out
+
+
 def _lay(node: Node, out: Layout, shown: bool, pre: bool, depth: int) -> None:
     tag = node.tag
     gap = 2 if tag in SPACED and not (tag in LISTS and depth) else 1 if tag in BLOCK else 0
@@ -291,13 +316,14 @@ def _lay(node: Node, out: Layout, shown: bool, pre: bool, depth: int) -> None:
     elif tag in ("blockquote", "dd"):
         out.indent += "  "
     pre = pre or tag in ("pre", "listing", "xmp")
+    children = _shown_children(node)
     shut = tag == "details" and "open" not in node.attrs
-    for child in node.children:
+    for child in children:
         if isinstance(child, str):
             if not shown or shut:
                 continue
             if pre:
-                _preformatted(child, out, first=child is node.children[0])
+                _preformatted(child, out, first=child is children[0])
             else:
                 out.words(child)
             continue

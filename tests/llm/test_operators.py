@@ -610,6 +610,25 @@ def test_op9_goldens(html, text):
     assert html_text.render(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<p>Solve <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> now", "Solve x=2 now"),
+    ("a <svg><title>t</title><desc>d</desc><rect/><g><text>Label <tspan>one</tspan></text><text>two</text></g>loose</svg> b", "a Label one two b"),
+    ("<select><option>first<option selected>second<option>third</select> end", "second end"),
+    ("<select><option hidden>none<optgroup label=g><option>first<option>other</select>", "first"),
+    ("<select multiple><option>x<option>y</select>", "x\ny"),
+    ("<select></select>z", "z"),
+])
+def test_op9_text_of_controls_and_drawings(html, text):
+    assert html_text.render(html) == text
+
+
+def test_op9_very_long_pages():
+    for html in ("<p>word " * 60000, "<b>" * 100000 + "x", "<select>" + "<option>o" * 50000, "<svg>" + "<g/>" * 50000 + "<text>t</text></svg>", "<table>" + "<tr><td>a<td>b" * 20000):
+        start = time.perf_counter()
+        assert html_text.render(html)
+        assert time.perf_counter() - start < 20, html[:20]
+
+
 def test_op9_words_against_plain_parser(spark, data):
     from html.parser import HTMLParser
 
