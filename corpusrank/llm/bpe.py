@@ -187,7 +187,9 @@ def read_ranks(path: str) -> bytes:
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", row: str = "doc_id") -> DataFrame:
     """(row, ids array<int>) for every row of ``docs``: whole texts, each match of ``pattern`` separately, no special tokens.
 
-    A null or empty text has no ids.  Repeated rows and null row values are kept; other columns are not read.
+    A null or empty text has no ids.  Repeated rows and null row values are kept; other columns are not read.  A text of
+    any length is encoded whole, half a million bytes of texts (or one longer text) at a time.  An empty table gives an
+    empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
@@ -202,7 +204,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizer
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """(row, ids) -> (row, ids, bytes): the bytes that each row's ids stand for.  Null ids count as none."""
+    """(row, ids) -> (row, ids, bytes): the bytes that each row's ids stand for.  Null ids count as none; an empty table gives an empty result."""
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -178,7 +178,8 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     conversation's text, in the order of turns.  Turns of a conversation are ordered by turn (nulls last), then role
     and a hash of the text, so repeated turns have a place each.  Role names ignore case and outer space; any other name or null
     must be relabelled.  Null texts are empty.  Rows without a conversation form one of their own.  An empty table gives
-    an empty result; other columns are not read.
+    an empty result; other columns are not read.  A text of any length is copied as it is, except for the names of
+    special tokens in it; a conversation of any length is repaired in segments (see the module's text).
     """
     spark = turns.sparkSession
     given = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))

@@ -207,7 +207,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group:
 
     Documents fall into ceil(rows / group) groups at random (by ``seed``); a group's pieces are packed together, so a
     task holds the lengths of a few thousand documents whatever the table's size.  Every row is packed, repeated rows
-    and null ids too; an empty table gives none.
+    and null ids too; a null or empty text is one piece, of the closing id alone; a text of any length is encoded whole
+    and cut into pieces of ``capacity``, of which the task that packs them holds the lengths.  Pieces of equal length are
+    placed in the order of rows.  Other columns are not read; an empty table gives none.
     """
     groups = max(1, -(-docs.count() // group))
     pieces = token_pieces(docs, tokenizer_path, capacity, text, row).withColumn("g", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(groups)))

@@ -21,7 +21,7 @@ from corpusrank.llm import bitslice, bloom, bpe, chat, components, fingerprint,
 from corpusrank.llm.boosting import BoostedTrees
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = [None, "", "   ", "a", "A a", "é", "日本語 テキスト", "x" * 30000, "word " * 5000, "same text here now ok", "same text here now ok", "\x00\x1c\x85 odd", "<|endoftext|> it's 12.5% OK"]
+ODD = [None, "", "   ", "a", "A a", "é", "日本語 テキスト", "x" * 30000, "word " * 5000, "much longer text, 12.5% of it " * 12000, "same text here now ok", "same text here now ok", "\x00\x1c\x85 odd", "<|endoftext|> it's 12.5% OK"]
 
 
 @pytest.fixture(scope="module")
@@ -523,8 +523,32 @@ def test_op7_segments_agree_with_whole_conversations(spark):
 
 
 def test_op7_query(spark, data):
-    got = queries.op7_chat_format(spark, data)
-    assert got.count() == spark.read.parquet(f"{data}/conversations.parquet").count()
+    turns = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{data}/conversations.parquet' ORDER BY conv_id, turn").fetchall()
+    got = {(x["conv_id"], x["turn"]): x for x in queries.op7_chat_format(spark, data).collect()}
+    assert len(got) == len(turns)
+    for conv in {t[0] for t in turns}:
+        own = [t for t in turns if t[0] == conv]
+        cost, steps = brute_repair([("", "system", "user", "assistant").index(r) for _, _, r, _ in own])
+        rows = [got[conv, t[1]] for t in own]
+        names = ("", "system", "user", "assistant")
+        assert [(x["action"], x["new_role"], x["inserted"]) for x in rows] == [(chat.ACTIONS[a], names[to], names[e]) for a, to, e in steps]
+        assert sum(x["cost"] for x in rows) == cost - chat.AFTER_ALL[steps[-1][1]]
+        shown = re.findall(r"<\|im_start\|>(\w+)\n(.*?)<\|im_end\|>\n", "".join(x["rendered"] for x in rows), re.S)
+        want = []  # the turns after repair, each with the texts that it must hold, in order
+        for (_, _, _, text), (action, to, inserted) in zip(own, steps, strict=True):
+            if inserted:
+                want.append((names[inserted], []))
+            if chat.ACTIONS[action].startswith("merge"):
+                want[-1][1].append(text)
+            else:
+                want.append((names[to], [text]))
+        want += [(names[e], []) for e in chat.ENDINGS[steps[-1][1]][1]]
+        assert [r for r, _ in shown] == [r for r, _ in want]
+        for (_, held), (_, parts) in zip(shown, want, strict=True):
+            at = 0
+            for part in parts:
+                at = held.index(part, at) + len(part)
+            assert len(held) - sum(map(len, parts)) <= 2 * max(0, len(parts) - 1)
 
 
 # ---- 8 --------------------------------------------------------------------------------------------------------------

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import random
+from collections import Counter
+from itertools import combinations
 
 import public_tokenizers
 import pytest
@@ -72,6 +74,22 @@ def test_dedup_stage(spark, data):
     assert {r["doc_id"] for r in got.collect()} == {rows[c][0] for c in set(roots)}
 
 
+def test_dedup_stage_finds_every_pair_of_more_documents(spark, data):
+    data = data.replace("sf0.001", "sf0.01")
+    rows = documents(data)
+    words = [t.lower().split() for _, t, _ in rows]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    common = Counter(p for own in holders.values() for p in combinations(own, 2))
+    near = {(i, j) for (i, j), n in common.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
+    roots = brute_classes(len(rows), lambda i, j: (j, i) in near)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{data}/documents.parquet"), data).collect()}
+    assert len(near) > 100 and got == {rows[c][0] for c in set(roots)}
+
+
 def test_dedup_stage_when_scans_are_split_anew(spark, data, tmp_path, monkeypatch):
     docs = spark.read.parquet(f"{data}/documents.parquet").repartition(12)
     docs.write.parquet(str(tmp_path / "documents"))
