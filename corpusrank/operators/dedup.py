@@ -19,6 +19,11 @@ def content_hash(content: str = "content") -> Column:
     return F.md5(F.coalesce(F.col(content), F.lit("")))
 
 
+def first_hashes(pages: DataFrame, order: str = "ord", content: str = "content") -> DataFrame:
+    """(order, content_md5) of the first page of each content; contents themselves are not moved."""
+    return pages.select(content_hash(content).alias("content_md5"), order).groupBy("content_md5").agg(F.min(order).alias(order))
+
+
 def first_of_equal(pages: DataFrame, order: str = "ord", content: str = "content") -> DataFrame:
     """``pages`` with content_md5, only the first in order of each content (``order`` must differ between rows).
 
@@ -89,7 +94,9 @@ def near_pairs(hashes: DataFrame, radius: int = 3, key: str = "doc_id") -> DataF
 
 
 def text_simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``simhash64`` of the unstemmed words of plain texts; texts without a word have none."""
-    terms = docs.select(key, F.explode(words(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return simhash64(terms, key)
+    """``simhash64`` of the unstemmed words of plain texts; texts without a word have none.
 
+    Texts are dealt by key once; their words are counted and voted on where they lie.
+    """
+    terms = docs.select(key, words(text).alias("__words")).repartition(key).select(key, F.explode("__words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return simhash64(terms, key)

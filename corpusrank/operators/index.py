@@ -14,7 +14,7 @@ from ..functions.text import WORD, grams, idf, token_positions, words
 from ..functions.urls import defragment, is_hidden
 from ..plans.config import BuildConfig
 from ..plans.lineage import checkpoint, release
-from .dedup import first_of_equal
+from .dedup import first_hashes
 
 
 #: Bytes of a row group: a lookup of a few terms reads few of them.
@@ -84,8 +84,8 @@ def dense_ids(rows: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def term_frequency(tokens: DataFrame, tokens_column: str = "tokens", key: str = "doc_id") -> DataFrame:
-    """(key, term, tf) of token lists."""
-    return tokens.select(key, F.explode(tokens_column).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) of token lists, each counted where it lies."""
+    return together(tokens.select(key, tokens_column), key).select(key, F.explode(tokens_column).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def together(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -114,7 +114,7 @@ def document_postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def ngrams(tokens: DataFrame, n: int, column: str = "tokens", key: str = "doc_id") -> DataFrame:
-    """(n, gram, key, occ) of token lists."""
+    """(n, gram, key, occ) of token lists; of lists that lie ``together`` without a shuffle."""
     every = tokens.select(key, F.explode(grams(column, n)).alias("gram"))
     return every.groupBy("gram", key).agg(F.count("*").alias("occ")).select(F.lit(n).alias("n"), "gram", key, "occ")
 
@@ -135,7 +135,9 @@ def build_index(pages: DataFrame, config: BuildConfig = BuildConfig(), html: boo
 
     ``html`` False takes contents as plain text.  Pages without a word keep their id and count, but have no postings.
     """
-    kept = dense_ids(first_of_equal(pages).withColumn("url", defragment("url")))
+    # ids are given to hashes alone, so that contents are moved once: to the ids that they keep
+    ids = dense_ids(first_hashes(pages))
+    kept = pages.join(ids, "ord").withColumn("url", defragment("url"))
     if html:
         parsed = kept.select("doc_id", "url", "content_md5", extract_page("content").alias("p")).select("doc_id", "url", "content_md5", "p.*")
     else:

@@ -90,7 +90,7 @@ def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def position_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index.postings(text.token_positions(docs(spark, sf_dir)))
+    rows = index.document_postings(docs(spark, sf_dir).withColumn("important", F.array().cast("array<string>")))
     return rows.select("doc_id", "term", F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions"))
 
 
@@ -117,7 +117,7 @@ def vocab_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cf(n: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return index.ngrams(docs(spark, sf_dir), n).groupBy("gram").agg(F.sum("occ").alias("cf"))
+        return docs(spark, sf_dir).select(F.explode(text.grams("tokens", n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("cf"))
 
     return run
 
@@ -162,8 +162,7 @@ def exact_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dense_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup.first_of_equal(documents_table(spark, sf_dir)).select("ord", "content_md5")
-    return index.dense_ids(kept).select(F.col("ord").alias("source_id"), "doc_id")
+    return index.dense_ids(dedup.first_hashes(documents_table(spark, sf_dir))).select(F.col("ord").alias("source_id"), "doc_id")
 
 
 def _hex(column: str) -> Column:
