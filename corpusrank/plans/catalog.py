@@ -105,7 +105,7 @@ def empty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document counts; those without a word have no postings."""
     held = plain_index(spark, sf_dir)
     posted = held.postings.groupBy("doc_id").agg(F.sum("tf").alias("posted"))
-    return held.docs.join(posted, "doc_id", "left").select("doc_id", "n_tokens", F.coalesce("posted", F.lit(0)).cast("long").alias("posted"))
+    return held.docs.join(posted, "doc_id", "left").select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.coalesce("posted", F.lit(0)).cast("long").alias("posted"))
 
 
 @query
@@ -367,14 +367,30 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "doc_id", "url", "score", "total_count")
 
 
-@query
-def search_pages_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with stems, emphasis, anchors, links, PageRank and HITS: every signal."""
-    held = index.build_index(pages_table(spark, sf_dir))
+def _search_pages(spark: SparkSession, sf_dir: str, build: BuildConfig, config: RankConfig) -> DataFrame:
+    """Pages with emphasis, anchors, links, PageRank and HITS: every signal."""
+    held = index.build_index(pages_table(spark, sf_dir), build)
     edges = links.resolve_links(links.target_urls(held.links), held.docs)
     pr = graph.pagerank(held.docs, edges, size=held.size)
     hubs = graph.hits(held.docs, edges)
-    return rank.search_many(asked(spark), held, pagerank=pr, hits=hubs)
+    return rank.search_many(asked(spark), held, config, pagerank=pr, hits=hubs)
+
+
+@query
+def search_pages_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search_pages(spark, sf_dir, BuildConfig(), RankConfig())
+
+
+@query
+def search_pages_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without stems, which SQL does not have."""
+    return _search_pages(spark, sf_dir, SIMPLE, RankConfig(digits=6))
+
+
+@query
+def emphasis_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = index.build_index(pages_table(spark, sf_dir), SIMPLE)
+    return rank.main_scores(rank.matches(wanted(spark, held), held), RankConfig()).select("query_id", "doc_id", "emphasis")
 
 
 @query

@@ -71,6 +71,29 @@ _BITSUM = " + ".join(f"CASE WHEN v{i} > 0 THEN {1 << i}::UBIGINT ELSE 0::UBIGINT
 _SIM = _TF + f", hs AS (SELECT doc_id, tf, ('0x' || substr(md5(term), 17, 16))::UBIGINT AS h FROM tf), vo AS (SELECT doc_id, {_BITS} FROM hs GROUP BY doc_id), sim AS (SELECT doc_id, CAST({_BITSUM} AS UBIGINT) AS f FROM vo)"
 _WORDS = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
 
+#: Pages as tags and texts, and the open elements before each of them.
+_OPEN = """RECURSIVE src AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '<>', 'g'), '(?s)<!--.*?-->|<![^>]*>', '<>', 'g'), '&[a-z]+;', ' ', 'g'), '<[^<>]*>|[^<]+') AS toks FROM pages),
+w AS (SELECT page_id, 1 AS i, toks, CAST([] AS VARCHAR[]) AS stack FROM src
+ UNION ALL SELECT page_id, i + 1, toks, CASE WHEN name = '' OR name IN ('br', 'hr', 'img', 'input', 'link', 'meta', 'wbr') THEN stack
+  WHEN toks[i] LIKE '</%' THEN CASE WHEN list_contains(stack, name) THEN stack[1 : len(stack) - list_position(list_reverse(stack), name)] ELSE stack END
+  ELSE list_append(stack, name) END
+ FROM (SELECT *, lower(regexp_extract(toks[i], '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM w WHERE i <= len(toks)))"""
+
+_IN = "len(list_filter(stack, lambda x: x IN ({0}))) AS {1}"
+#: Distinct pages as an unstemmed index: the same tables as of documents, with emphasised words and link words.
+_PAGE_TF = (
+    _OPEN + ", kept AS (SELECT page_id, split_part(url, '#', 1) AS url, row_number() OVER (ORDER BY page_id) - 1 AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY md5(coalesce(html, '')) ORDER BY page_id) AS r FROM pages) WHERE r = 1), "
+    "words AS (SELECT doc_id, i, generate_subscripts(l, 1) AS j, lower(unnest(l)) AS term, b, a FROM (SELECT doc_id, i, regexp_extract_all(toks[i], '[A-Za-z0-9]+') AS l, " + _IN.format("'h1', 'h2', 'h3', 'b', 'strong', 'title'", "b") + ", " + _IN.format("'a'", "a") + " FROM w JOIN kept USING (page_id) WHERE i <= len(toks) AND toks[i] NOT LIKE '<%')), "
+    "imp AS (SELECT doc_id, term, sum(b) AS itf FROM words GROUP BY ALL), anc AS (SELECT doc_id, term, sum(a) AS tf FROM words WHERE a > 0 GROUP BY ALL), adf AS (SELECT term, count(*) AS df FROM anc GROUP BY term), "
+    "tok AS (SELECT doc_id, list(term ORDER BY i, j) AS toks FROM words GROUP BY doc_id)" + _TF.removeprefix(_TOK).replace("FROM documents", "FROM kept")
+)
+_PAGE_SEARCH = ", ".join((_PAGE_TF, _Q, _MAIN, _GRAM)) + (
+    ", em AS (SELECT query_id, doc_id, 1 + 0.5::DOUBLE * sum(itf) AS emphasis FROM qx JOIN imp USING (term) GROUP BY ALL), "
+    "an AS (SELECT query_id, doc_id, sum(1.5::DOUBLE * (1 + ln(tf)) * ln(n / df)) AS score FROM qx JOIN anc USING (term) JOIN adf USING (term), n GROUP BY ALL), "
+    "un AS (SELECT query_id, doc_id, sum(score) * (1 + 2.5::DOUBLE * (1 - 0.85::DOUBLE) / max(n)) AS score, min(first) AS first FROM (SELECT query_id, doc_id, base * emphasis * nearness AS score, first FROM near JOIN em USING (query_id, doc_id) UNION ALL SELECT query_id, doc_id, score, NULL FROM gs UNION ALL SELECT query_id, doc_id, score, NULL FROM an), n GROUP BY query_id, doc_id), "
+    "vis AS (SELECT doc_id, url FROM (SELECT *, lower(url) AS low FROM kept) WHERE NOT " + _HIDE + "), " + _BEST
+)
+
 SQL: dict[str, str] = {
     "tokenize_positions": f"WITH {_POS} SELECT doc_id, pos, term FROM pos",
     "term_frequency": f"WITH {_TF} SELECT doc_id, term, tf FROM tf",
@@ -103,6 +126,7 @@ SELECT page_id, CASE WHEN host = '' THEN url WHEN len(seg) = 0 THEN bare WHEN le
     "display_url": f"WITH p AS (SELECT page_id, CASE WHEN {_HOST} = '' THEN url ELSE {_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END END AS d FROM pages) SELECT page_id, CASE WHEN length(d) > 80 THEN d[1:80] || '...' ELSE d END AS display_url, CASE WHEN length(d) > 30 THEN d[1:30] || '...' ELSE d END AS short_url FROM p",
     "url_snippet": f"SELECT page_id, CASE {' '.join(f'''WHEN contains({_HOST}, '{a}') THEN '{b}' ''' for a, b in SNIPPETS)} ELSE 'Click to view this page' END AS snippet FROM pages",
     "html_extract": f"SELECT page_id AS doc_id, array_to_string(list_transform(regexp_extract_all({_PLAIN}, '[A-Za-z0-9]+'), lambda x: lower(x)), ' ') AS tokens FROM pages",
+    "important_terms": f"WITH {_OPEN}, words AS (SELECT page_id, unnest(regexp_extract_all(toks[i], '[A-Za-z0-9]+')) AS word, len(list_filter(stack, lambda x: x IN ('h1', 'h2', 'h3', 'b', 'strong', 'title'))) AS n FROM w WHERE i <= len(toks) AND toks[i] NOT LIKE '<%') SELECT page_id AS doc_id, lower(word) AS term, CAST(sum(n) AS BIGINT) AS important_tf FROM words WHERE n > 0 GROUP BY ALL",
     "anchor_terms": f"WITH {_ANCHORS} SELECT doc_id, term, tf FROM anc",
     "page_hrefs": "WITH h AS (SELECT page_id AS doc_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS root, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT doc_id, root || split_part(href, '#', 1) AS target FROM h WHERE href <> ''",
     "term_multiplicity": f"WITH {_Q} SELECT CAST(query_id AS BIGINT) AS query_id, term, count(*) AS qtf FROM qx GROUP BY ALL",
@@ -116,6 +140,8 @@ SELECT page_id, CASE WHEN host = '' THEN url WHEN len(seg) = 0 THEN bare WHEN le
     "url_result_dedup": f"WITH {_SEARCH} SELECT CAST(query_id AS BIGINT) AS query_id, url, doc_id FROM best WHERE r = 1",
     "total_count": f"WITH {_SEARCH} SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS total_count FROM best WHERE r = 1 GROUP BY 1",
     "search_batch": f"WITH {_SEARCH}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) AS rn, count(*) OVER (PARTITION BY query_id) AS total_count FROM best WHERE r = 1) SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rn AS INTEGER) AS rank, doc_id, url, score, total_count FROM o WHERE rn <= 10",
+    "emphasis_factor": f"WITH {_PAGE_SEARCH} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, emphasis FROM near JOIN em USING (query_id, doc_id)",
+    "search_pages_plain": f"WITH {_PAGE_SEARCH}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) AS rn, count(*) OVER (PARTITION BY query_id) AS total_count FROM best WHERE r = 1) SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rn AS INTEGER) AS rank, doc_id, url, score, total_count FROM o WHERE rn <= 10",
     "index_statistics": "WITH k AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(coalesce(text, ''))) SELECT (SELECT count(*) FROM k) AS num_documents, count(DISTINCT term) AS num_unique_terms, 0.0::DOUBLE AS index_size_kb FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS term FROM documents JOIN k USING (doc_id))",
     "asof_links": "SELECT src, max(doc_id) AS dst FROM (SELECT page_id AS src, (page_id * 7 + 3) % 50 AS u FROM pages) JOIN (SELECT page_id AS doc_id, page_id % 50 AS u FROM pages) USING (u) WHERE doc_id <= src GROUP BY src",
     "corpus_links": "SELECT src, max(doc_id) AS dst FROM (SELECT page_id AS src, (page_id * 7 + 3) % 50 AS u FROM pages) JOIN (SELECT page_id AS doc_id, page_id % 50 AS u FROM pages) USING (u) GROUP BY src",
