@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field, fields
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import extract_page
@@ -19,6 +21,17 @@ from .dedup import first_hashes
 
 #: Bytes of a row group: a lookup of a few terms reads few of them.
 BLOCK = 1 << 25
+#: Values of one condition that a Parquet scan tests row group by row group; of more it knows only the range.
+TESTED = 10
+#: Terms whose statistics are remembered between queries.
+REMEMBERED = 10_000
+
+
+def is_any(column: str, values: Iterable[str]) -> Column:
+    """Whether the column is one of the values, in conditions that a scan can push down to row groups."""
+    values = sorted(values)
+    tests = [F.col(column).isin(*values[at : at + TESTED]) for at in range(0, len(values), TESTED)]
+    return reduce(Column.__or__, tests) if tests else F.lit(False)
 
 
 @dataclass
@@ -36,6 +49,8 @@ class Index:
     analyzer: str = "stem"
     #: What building has written besides, to be released when the index is written or no longer read.
     made: list[DataFrame] = field(default_factory=list)
+    #: What ``statistics_of`` has read: term -> its rows (none, if the index does not have it).
+    read: dict[str, list[Row]] = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: v for f in fields(self) if isinstance(v := getattr(self, f.name), DataFrame)}
@@ -45,6 +60,20 @@ class Index:
         self.docs.persist()
         return self
 
+    def statistics_of(self, terms: Iterable[str]) -> dict[tuple[str, str], Row]:
+        """(kind, term) -> statistics of the terms and grams that the index has; up to ``REMEMBERED`` are kept for later queries."""
+        terms = set(terms)
+        new = terms - self.read.keys()
+        if len(self.read) + len(new) > REMEMBERED:
+            self.read.clear()
+            new = terms
+        if new:
+            found = self.terms.where(is_any("term", new)).selectExpr("kind", "term", "idf", "df", "docs").collect()
+            self.read.update({t: [] for t in new})
+            for row in found:
+                self.read[row["term"]].append(row)
+        return {(row["kind"], t): row for t in terms for row in self.read[t]}
+
     def release(self) -> None:
         """Delete what building wrote; an index that is not written cannot be read any more."""
         for done in self.made:

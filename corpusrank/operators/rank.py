@@ -12,7 +12,6 @@ joined with the index by term.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,15 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import grams, log_tf
+from ..functions.text import grams
 from ..plans.config import RankConfig
-from .index import Index, query_terms, query_words
+from .index import Index, is_any, query_terms, query_words
 
 KEYS = ["query_id", "doc_id"]
 #: Queries of a batch, and words or grams of it, that become literals.
 LITERALS = 4096
-#: Values of one condition that a Parquet scan tests row group by row group; of more it knows only the range.
-TESTED = 10
 
 
 def occurrences(asked: DataFrame) -> DataFrame:
@@ -37,13 +34,6 @@ def occurrences(asked: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "n", "term").agg(F.count("*").alias("qtf"), F.sort_array(F.collect_list("i")).alias("places"))
 
 
-def is_any(column: str, values: Iterable[str]) -> Column:
-    """Whether the column is one of the values, in conditions that a scan can push down to row groups."""
-    values = sorted(values)
-    tests = [F.col(column).isin(*values[at : at + TESTED]) for at in range(0, len(values), TESTED)]
-    return reduce(Column.__or__, tests) if tests else F.lit(False)
-
-
 def local_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
     """A few rows as a relation whose size the planner knows, and which it broadcasts without a job of its own."""
     return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema))
@@ -77,8 +67,7 @@ def wanted(asked: DataFrame, index: Index, config: RankConfig) -> Wanted:
     every = Counter((r["query_id"], k, "_".join(r["terms"][i : i + k])) for r in rows for k in (2, 3) for i in range(len(r["terms"]) - k + 1))
     if max(len(rows), len(words), len(every)) > LITERALS:
         return _joined_wanted(asked, index, config)
-    found = index.terms.where(is_any("term", words | {g for _, _, g in every})).select("kind", "term", "idf", "df", "docs").collect()
-    known = {(r["kind"], r["term"]): r for r in found}
+    known = index.statistics_of(words | {g for _, _, g in every})
     spark, terms, anchors = asked.sparkSession, [], []
     for r in rows:
         places: dict[str, list[int]] = {}
@@ -127,9 +116,14 @@ def matches(want: Wanted, index: Index) -> DataFrame:
     return want.terms.join(want.read(index.postings, "term", 0), "term")
 
 
+#: 1 + ln(tf), 0 where tf is 0; in text, as are the expressions below: a query of one user is planned anew each time, and
+#: every column object is a call to the JVM.
+_LOG_TF = "CASE WHEN tf > 0 THEN 1 + ln(tf) ELSE 0D END"
+
+
 def _match_rows(found: DataFrame) -> DataFrame:
     """What ``combined`` adds up, of ``matches``."""
-    return found.select(*KEYS, "n", (F.col("qtf") * log_tf("tf") * F.col("idf")).alias("s"), (F.col("qtf") * F.col("important_tf")).cast("double").alias("e"), "positions", "places", F.lit(0.0).alias("extra"))
+    return found.selectExpr(*KEYS, "n", f"qtf * {_LOG_TF} * idf AS s", "CAST(qtf * important_tf AS double) AS e", "positions", "places", "0D AS extra")
 
 
 def _extra_rows(found: DataFrame) -> DataFrame:
@@ -143,9 +137,9 @@ def combined(rows: DataFrame, config: RankConfig) -> DataFrame:
     nearness of a query of several words: m is the first place of any query word in the document; each later word i of
     the query adds ``near_step`` if it stands within ``near_slack`` of m + i; all of them add ``near_all``.
     """
-    placed = rows.withColumn("m", F.min(F.array_min("positions")).over(Window.partitionBy(*KEYS)))
-    near = F.expr(f"size(filter(places, i -> i >= 1 AND exists(positions, p -> abs(p - m - i) <= {config.near_slack})))")
-    each = placed.select(*KEYS, "n", "s", "e", "extra", F.when(F.col("places").isNotNull(), near).alias("h"), F.array_min("places").alias("first"))
+    near = f"size(filter(places, i -> i >= 1 AND exists(positions, p -> abs(p - m - i) <= {config.near_slack})))"
+    placed = rows.selectExpr("*", "min(array_min(positions)) OVER (PARTITION BY query_id, doc_id) AS m")
+    each = placed.selectExpr(*KEYS, "n", "s", "e", "extra", f"CASE WHEN places IS NOT NULL THEN {near} END AS h", "array_min(places) AS first")
     grouped = each.groupBy(*KEYS).agg(*[F.expr(x) for x in ("sum(s) AS base", "sum(e) AS e", "sum(h) AS h", "sum(extra) AS extra", "max(n) AS n", "min(first) AS first")])
     nearness = f"CASE WHEN n > 1 THEN 1 + {config.near_step}D * h + CASE WHEN h = n - 1 THEN {config.near_all}D ELSE 0D END ELSE 1D END AS nearness"
     return grouped.selectExpr(*KEYS, "base", f"1 + {config.important_weight}D * e AS emphasis", nearness, "extra", "first")
@@ -157,11 +151,11 @@ def main_scores(found: DataFrame, config: RankConfig) -> DataFrame:
 
 
 def _gram_rows(want: Wanted, index: Index) -> DataFrame:
-    return want.grams.join(want.read(index.ngrams, "gram", 1), ["n", "gram"]).select(*KEYS, (F.col("weight") * F.col("occ")).alias("score"))
+    return want.grams.join(want.read(index.ngrams, "gram", 1), ["n", "gram"]).selectExpr(*KEYS, "weight * occ AS score")
 
 
 def _anchor_rows(want: Wanted, index: Index) -> DataFrame:
-    return want.anchors.join(want.read(index.anchors, "term", 2), "term").select(*KEYS, (F.col("weight") * log_tf("tf")).alias("score"))
+    return want.anchors.join(want.read(index.anchors, "term", 2), "term").selectExpr(*KEYS, f"weight * {_LOG_TF} AS score")
 
 
 def gram_scores(want: Wanted, index: Index) -> DataFrame:
@@ -182,10 +176,10 @@ def union_scores(parts: list[DataFrame]) -> DataFrame:
 
 def boost(scores: DataFrame, config: RankConfig, pagerank: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Scores times the factors of link analysis; documents that it does not know keep theirs."""
-    if pagerank is not None:
-        scores = scores.join(pagerank.select("doc_id", "pr"), "doc_id", "left").withColumn("score", F.col("score") * (1 + config.pagerank_weight * F.coalesce("pr", F.lit(0.0)))).drop("pr")
-    if hits is not None:
-        scores = scores.join(hits.select("doc_id", "authority"), "doc_id", "left").withColumn("score", F.col("score") * (1 + config.authority_weight * F.coalesce("authority", F.lit(0.0)))).drop("authority")
+    for signal, column, weight in ((pagerank, "pr", config.pagerank_weight), (hits, "authority", config.authority_weight)):
+        if signal is not None:
+            others = [c for c in scores.columns if c != "score"]
+            scores = scores.join(signal.selectExpr("doc_id", column), "doc_id", "left").selectExpr(*others, f"score * (1 + {weight}D * coalesce({column}, 0D)) AS score")
     return scores
 
 
@@ -200,14 +194,14 @@ def demote_duplicates(scores: DataFrame, classes: DataFrame, config: RankConfig)
 
 def visible(scores: DataFrame, docs: DataFrame) -> DataFrame:
     """Scores with url, without hidden documents."""
-    return scores.join(docs.where("NOT hidden").select("doc_id", "url"), "doc_id")
+    return scores.join(docs.where("NOT hidden").selectExpr("doc_id", "url"), "doc_id")
 
 
 def best_urls(scores: DataFrame, config: RankConfig) -> DataFrame:
     """(query_id, url, score, first, doc_id): the best visible document of each URL, by one partial aggregation."""
-    rounded = scores.withColumn("score", F.round("score", config.digits)).withColumn("first", F.coalesce("first", F.lit(1 << 30)))
-    best = rounded.groupBy("query_id", "url").agg(F.min(F.struct((-F.col("score")).alias("minus"), "first", "doc_id")).alias("b"))
-    return best.select("query_id", "url", (0.0 - F.col("b.minus")).alias("score"), "b.first", "b.doc_id")
+    rounded = scores.selectExpr(*KEYS, "url", f"round(score, {config.digits}) AS score", f"coalesce(first, {1 << 30}) AS first")
+    best = rounded.groupBy("query_id", "url").agg(F.expr("min(struct(-score AS minus, first, doc_id)) AS b"))
+    return best.selectExpr("query_id", "url", "0D - b.minus AS score", "b.first", "b.doc_id")
 
 
 def top(best: DataFrame, k: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -308,7 +309,7 @@ def anchor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = plain_index(spark, sf_dir)
     anchors = index.term_frequency(_parsed(spark, sf_dir), "anchor").select("term", "doc_id", "tf")
     size = table(spark, sf_dir, "pages").count()
-    held.anchors, held.terms = anchors, index.statistics(size, held.postings, held.ngrams, anchors)
+    held = replace(held, anchors=anchors, terms=index.statistics(size, held.postings, held.ngrams, anchors), read={})
     scores = rank.anchor_scores(wanted(spark, held), held)
     return scores.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
