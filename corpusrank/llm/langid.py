@@ -29,7 +29,7 @@ RAW = 8.0
 MOST_LANGS = 64
 #: A text of n bytes is in no learned language if its code takes MARGIN bits a byte more than all but the most costly
 #: fiftieth of the learned languages' documents, and CHANCE / sqrt(n) more for the chance of single bytes (8 deviations).
-MARGIN, CHANCE = 2.0, 24.0
+MARGIN, CHANCE = 4.0, 24.0
 #: The same without documents to tell what is usual: bits a byte.
 REJECT = 10.0
 #: Bytes whose costs are held at a time.
