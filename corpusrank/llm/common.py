@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint, pinned, release
 
-__all__ = ["checkpoint", "column", "columns", "kept_columns", "kept_texts", "own_names", "parallel", "pinned", "ragged", "release", "table", "text_chunks", "unkept", "worker_cache"]
+__all__ = ["checkpoint", "column", "columns", "give_back", "kept_columns", "kept_texts", "own_names", "parallel", "pinned", "ragged", "release", "table", "text_chunks", "unkept", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

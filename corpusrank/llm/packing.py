@@ -26,7 +26,7 @@ CAPACITY = 2048
 #: Documents of a group, on average.
 GROUP = 4096
 #: Words that a worker remembers; just below the size at which their table would double.
-KNOWN = 640_000
+KNOWN = 320_000
 EOS = 1
 
 

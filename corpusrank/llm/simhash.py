@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bitslice
 from .bloom import bloom_filter, holds
-from .common import checkpoint, release, text_chunks
+from .common import checkpoint, give_back, release, text_chunks
 from .components import connected_components
 
 SEED = 42
@@ -170,6 +170,8 @@ def bucket_links(rows: DataFrame, link: Callable[[dict[str, np.ndarray], np.ndar
             held.append({n: v[cut:] for n, v in cols.items()})
         if held:
             yield solve(held)
+        held.clear()
+        give_back()
 
     return rows.repartition(by).sortWithinPartitions(by).mapInArrow(run, ", ".join(f"{g} long" for g in gives))
 
