@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import runs, words
 
 #: The 64 bits in six blocks; fingerprints that differ in three bits at most share three of them, so 20 keys of 31 to
 #: 33 bits find every pair, and a bucket rarely holds two fingerprints that are not alike.
@@ -49,13 +49,15 @@ def duplicate_members(pages: DataFrame, order: str = "ord", content: str = "cont
 def simhash64(terms: DataFrame, key: str = "doc_id", term: str = "term", tf: str = "tf") -> DataFrame:
     """(key, simhash bigint) from term counts: bit i is set if more of the tokens' MD5 low 64 bits have it than not.
 
-    Each distinct term of a document is hashed once and weighs its count.  Ties leave a bit 0.  The 64 votes are 64
-    sums of one partial aggregation, so documents are never gathered.
+    Each distinct term of a document is hashed once and weighs its count.  Ties leave a bit 0.  The votes are 32 sums of
+    one partial aggregation, each of two bits: a document has fewer than 2^31 tokens.  Documents are never gathered.
     """
     hashed = terms.withColumn("__h", F.conv(F.substring(F.md5(term), 17, 16), 16, -10).cast("long"))
-    votes = [F.sum(F.when(F.getbit("__h", F.lit(i)) == 1, F.col(tf)).otherwise(-F.col(tf))).alias(f"v{i}") for i in range(64)]
-    bit = [F.when(F.col(f"v{i}") > 0, F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    return hashed.groupBy(key).agg(*votes).select(key, reduce(lambda a, b: a.bitwiseOR(b), bit).alias("simhash"))
+    two = F.lit((1 << 32) + 1)
+    votes = [F.sum(F.col(tf) * F.shiftright("__h", i).bitwiseAND(two)).alias(f"v{i}") for i in range(32)]
+    low = lambda i: F.col(f"v{i % 32}").bitwiseAND(F.lit((1 << 32) - 1)) if i < 32 else F.shiftright(F.col(f"v{i % 32}"), 32)
+    bit = [F.when(2 * low(i) > F.col("__n"), F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    return hashed.groupBy(key).agg(F.sum(tf).alias("__n"), *votes).select(key, reduce(lambda a, b: a.bitwiseOR(b), bit).alias("simhash"))
 
 
 def hamming(a: str | Column, b: str | Column) -> Column:
@@ -96,7 +98,7 @@ def near_pairs(hashes: DataFrame, radius: int = 3, key: str = "doc_id") -> DataF
 def text_simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``simhash64`` of the unstemmed words of plain texts; texts without a word have none.
 
-    Texts are dealt by key once; their words are counted and voted on where they lie.
+    Words are counted and voted on where their texts lie, one text for each key.
     """
-    terms = docs.select(key, words(text).alias("__words")).repartition(key).select(key, F.explode("__words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    terms = runs(docs.select(key, F.sort_array(words(text)).alias("__t")), "__t", key).withColumnRenamed("count", "tf")
     return simhash64(terms, key)
