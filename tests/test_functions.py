@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusrank.functions import format, text, urls
+from corpusrank.functions.format import shown_time
 from corpusrank.functions.html import page_words
 from corpusrank.functions.stem import porter, stem_terms
 
@@ -105,3 +106,13 @@ def test_unclosed_tags_are_linear():
 def test_result_formats(spark):
     rows = spark.createDataFrame([(0.2, 1.006), (0.999, 12.3456), (1.0, 0.0), (12.5, 3.999)], "ms double, score double").select(format.shown_time("ms").alias("t"), format.shown_score("score").alias("s"))
     assert [tuple(r) for r in rows.collect()] == [("< 1", "1.01"), ("< 1", "12.35"), ("1", "0.00"), ("13", "4.00")]
+
+
+def test_shown_time_takes_halves_to_even(spark):
+    rows = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (3.5,), (2.51,)], "ms double")
+    assert [x[0] for x in rows.select(shown_time("ms", even=True)).collect()] == ["< 1", "2", "2", "4", "3"]
+
+
+def test_a_name_without_a_semicolon_is_text():
+    assert page_words("<title>the&amp;&amp</title><b>x&eacute;y &copy z&ampq")[0] == ["the", "amp", "x", "y", "copy", "z", "ampq"]
+    assert page_words("<title>a&amp</title>")[1] == ["a", "amp"]
