@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusrank.functions import format, text, urls
+from corpusrank.functions import format, stem, text, urls
 from corpusrank.functions.format import shown_time
 from corpusrank.functions.html import page_words
 from corpusrank.functions.stem import porter, stem_terms
@@ -116,3 +119,14 @@ def test_shown_time_takes_halves_to_even(spark):
 def test_a_name_without_a_semicolon_is_text():
     assert page_words("<title>the&amp;&amp</title><b>x&eacute;y &copy z&ampq")[0] == ["the", "amp", "x", "y", "copy", "z", "ampq"]
     assert page_words("<title>a&amp</title>")[1] == ["a", "amp"]
+
+
+def test_stems_of_lists_hold_no_words():
+    """A batch of many words: a worker keeps distinct words as Python strings, not each word."""
+    lists = pa.array([None, [], ["running", None, "dogs"], *[["running", "dogs", "the", "flies"] * 1000] * 500])[1:]
+    tracemalloc.start()
+    got = stem.porter_stem_all.func(lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.slice(0, 3).to_pylist() == [[], ["run", None, "dog"], ["run", "dog", "the", "fli"] * 1000] and peak < 1 << 20
+    assert stem.porter_stem_all.func(pa.array([None, ["cats"]])).to_pylist() == [None, ["cat"]]
