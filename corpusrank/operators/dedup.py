@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import runs, words
+from ..functions.batches import chunks, spelled, split_words
+
+try:
+    from _md5 import md5  # for short words, half the time of OpenSSL's
+except ImportError:
+    from hashlib import md5
 
 #: The 64 bits in six blocks; fingerprints that differ in three bits at most share three of them, so 20 keys of 31 to
 #: 33 bits find every pair, and a bucket rarely holds two fingerprints that are not alike.
@@ -54,10 +63,17 @@ def simhash64(terms: DataFrame, key: str = "doc_id", term: str = "term", tf: str
     """
     hashed = terms.withColumn("__h", F.conv(F.substring(F.md5(term), 17, 16), 16, -10).cast("long"))
     two = F.lit((1 << 32) + 1)
-    votes = [F.sum(F.col(tf) * F.shiftright("__h", i).bitwiseAND(two)).alias(f"v{i}") for i in range(32)]
-    low = lambda i: F.col(f"v{i % 32}").bitwiseAND(F.lit((1 << 32) - 1)) if i < 32 else F.shiftright(F.col(f"v{i % 32}"), 32)
-    bit = [F.when(2 * low(i) > F.col("__n"), F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    return hashed.groupBy(key).agg(F.sum(tf).alias("__n"), *votes).select(key, reduce(lambda a, b: a.bitwiseOR(b), bit).alias("simhash"))
+    votes = [F.sum(F.col(tf) * F.shiftright("__h", i).bitwiseAND(two)) for i in range(32)]
+    return _voted(hashed, key, F.sum(tf), votes)
+
+
+def _voted(rows: DataFrame, key: str, words: Column, votes: list[Column]) -> DataFrame:
+    """(key, simhash) of the numbers of a key's words and, for i below 32, of its words with bit i and, 2^32 times, with bit i + 32."""
+    counted = rows.groupBy(key).agg(words.alias("__n"), *[v.alias(f"v{i}") for i, v in enumerate(votes)])
+    # the sign of n - 2 votes is the bit; both halves move up together. 64 conditions in one expression are too long to be compiled
+    above = lambda v: f"shiftrightunsigned(__n - 2 * {v}, 63)"
+    listed = ", ".join(f"v{i}" for i in reversed(range(32)))
+    return counted.selectExpr(key, f"aggregate(array({listed}), 0L, (a, v) -> shiftleft(a, 1) | {above(f'(v & {(1 << 32) - 1}L)')} | shiftleft({above('shiftright(v, 32)')}, 32)) AS simhash")
 
 
 def hamming(a: str | Column, b: str | Column) -> Column:
@@ -95,10 +111,50 @@ def near_pairs(hashes: DataFrame, radius: int = 3, key: str = "doc_id") -> DataF
     return joined.select(F.col("a.id").alias(key), F.col("b.id").alias("dup_id"), F.bit_count(apart).alias("hamming"))
 
 
+#: Bytes of texts whose words are counted at a time.
+VOTED = 1 << 22
+#: Words that are counted in bytes before they are added to wider numbers.
+PIECE = 255
+#: Pieces whose words' bits are laid out at a time.
+PIECES = 256
+
+
+def _votes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, words, votes) of each text that has a word; votes are the numbers of its words with bits 0 to 63."""
+    words, begins = split_words(texts)
+    lengths = np.diff(begins)
+    some = np.flatnonzero(lengths)
+    if not len(some):
+        return some, lengths[some], np.zeros((0, 64), np.int64)
+    coded = words.dictionary_encode()
+    hashes = np.frombuffer(b"".join([md5(w).digest() for w in spelled(coded.dictionary)]), ">u8")[1::2].astype("<u8")
+    # a word's row has a byte for each bit, and eight bytes are added at once
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+    codes = coded.indices.to_numpy()
+    pieces = -(-lengths[some] // PIECE)
+    ends = np.cumsum(pieces)
+    at = np.repeat(begins[some], pieces) + (np.arange(ends[-1]) - np.repeat(ends - pieces, pieces)) * PIECE
+    stops, counted = np.append(at[1:], len(codes)), np.empty((len(at), 8), np.uint64)
+    for k in range(0, len(at), PIECES):
+        each = bits[codes[at[k] : stops[k : k + PIECES][-1]]]
+        counted[k : k + PIECES] = np.add.reduceat(each, at[k : k + PIECES] - at[k], axis=0)
+    return some, lengths[some], np.add.reduceat(counted.view(np.uint8), ends - pieces, axis=0, dtype=np.int64)
+
+
 def text_simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``simhash64`` of the unstemmed words of plain texts; texts without a word have none.
 
-    Words are counted and voted on where their texts lie, one text for each key.
+    Words are found, hashed and counted where their texts lie, all words of a piece of 4 MB at once and each distinct
+    one hashed once; a text's votes are a row.
     """
-    terms = runs(docs.select(key, F.sort_array(words(text)).alias("__t")), "__t", key).withColumnRenamed("count", "tf")
-    return simhash64(terms, key)
+    names = ["__n", *(f"v{i}" for i in range(32))]
+    schema = T.StructType([docs.schema[key], *(T.StructField(n, T.LongType()) for n in names)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text, VOTED):
+                at, n, bits = _votes(part.column(text))
+                two = bits[:, :32] + (bits[:, 32:] << 32)
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(at)), pa.array(n), *(pa.array(two[:, i]) for i in range(32))], names=[key, *names])
+
+    return _voted(docs.select(key, text).mapInArrow(count, schema), key, F.sum("__n"), [F.sum(n) for n in names[1:]])

@@ -7,6 +7,7 @@ import io
 import json
 import math
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -341,3 +342,18 @@ def test_an_index_of_what_is_asked_counts_once(spark):
 def test_results_by_url_need_no_order(spark, data):
     plan = catalog.QUERIES["url_result_dedup"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "Window [rank" not in plan
+
+
+def test_votes_are_counted_a_piece_at_a_time(spark):
+    r = random.Random(4)
+    texts = [r.choice([None, "", "é!", "Word", " ".join(r.choices(["The", "a1", "xé", "b_c", "zZ9"], k=r.choice([1, 254, 255, 256, 3000])))]) for _ in range(60)]
+    found = dedup.text_simhash(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "sort_array" not in plan
+
+    def brute(words: list[str]) -> int:
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[16:], 16) for w in words]
+        return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+    split = {i: [w.lower() for w in re.findall("[A-Za-z0-9]+", t or "")] for i, t in enumerate(texts)}
+    assert {x["doc_id"]: x["simhash"] % (1 << 64) for x in found.collect()} == {i: brute(w) for i, w in split.items() if w}
