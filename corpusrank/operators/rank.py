@@ -121,9 +121,13 @@ def matches(want: Wanted, index: Index) -> DataFrame:
 _LOG_TF = "CASE WHEN tf > 0 THEN 1 + ln(tf) ELSE 0D END"
 
 
-def _match_rows(found: DataFrame) -> DataFrame:
-    """What ``combined`` adds up, of ``matches``."""
-    return found.selectExpr(*KEYS, "n", f"qtf * {_LOG_TF} * idf AS s", "CAST(qtf * important_tf AS double) AS e", "positions", "places", "0D AS extra")
+def _match_rows(found: DataFrame, config: RankConfig) -> DataFrame:
+    """What ``combined`` adds up, of ``matches``.
+
+    A place counts up to m + n - 1 + ``near_slack``, and m is not after a word's own first place: of its places, which
+    rise, those that count are among its first n + ``near_slack``, and no more are moved.
+    """
+    return found.selectExpr(*KEYS, "n", f"qtf * {_LOG_TF} * idf AS s", "CAST(qtf * important_tf AS double) AS e", f"slice(positions, 1, n + {config.near_slack}) AS positions", "places", "0D AS extra")
 
 
 def _extra_rows(found: DataFrame) -> DataFrame:
@@ -147,7 +151,7 @@ def combined(rows: DataFrame, config: RankConfig) -> DataFrame:
 
 def main_scores(found: DataFrame, config: RankConfig) -> DataFrame:
     """(query_id, doc_id, base, emphasis, nearness, first) of ``matches``."""
-    return combined(_match_rows(found), config).drop("extra")
+    return combined(_match_rows(found, config), config).drop("extra")
 
 
 def _gram_rows(want: Wanted, index: Index) -> DataFrame:
@@ -234,7 +238,7 @@ def score_queries(queries: DataFrame, index: Index, config: RankConfig = RankCon
 
 def _scored(asked: DataFrame, index: Index, config: RankConfig, pagerank: DataFrame | None = None, hits: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
     want = wanted(asked, index, config)
-    parts = [_match_rows(matches(want, index))]
+    parts = [_match_rows(matches(want, index), config)]
     for which, rows in ((1, _gram_rows), (2, _anchor_rows)):
         if want.literals is None or want.literals[which]:
             parts.append(_extra_rows(rows(want, index)))

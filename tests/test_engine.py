@@ -357,3 +357,26 @@ def test_votes_are_counted_a_piece_at_a_time(spark):
 
     split = {i: [w.lower() for w in re.findall("[A-Za-z0-9]+", t or "")] for i, t in enumerate(texts)}
     assert {x["doc_id"]: x["simhash"] % (1 << 64) for x in found.collect()} == {i: brute(w) for i, w in split.items() if w}
+
+
+def test_an_index_of_what_is_asked_reads_texts_and_lists_alike(spark):
+    r = random.Random(12)
+    some = lambda k: r.choices(["alpha", "beta", "gamma", "delta"], k=r.choice([0, 1, k]))
+    rows = [(i, f"http://h/{i}", "x", None if i == 3 else "-É ".join(some(40)).title(), some(4), some(4)) for i in range(80)]
+    parsed = spark.createDataFrame(rows, "doc_id long, url string, content_md5 string, text string, important array<string>, anchor array<string>").withColumn("tokens", words("text")).withColumn("hrefs", F.array().cast("array<string>"))
+    queries = ["alpha beta gamma", "beta beta", "missing alpha", "!!!"]
+    asked = [index.query_words(q, "simple") for q in queries]
+    every, lists, texts = index.index_documents(parsed, "simple"), index.index_asked(parsed.drop("text"), "simple", asked), index.index_asked(parsed, "simple", asked)
+    terms, grams = ["alpha", "beta", "gamma"], ["alpha_beta", "beta_gamma", "alpha_beta_gamma", "beta_beta"]
+    for name, column, wanted in (("postings", "term", terms), ("anchors", "term", terms), ("ngrams", "gram", grams)):
+        whole, a, b = (sorted(tuple(x) for x in getattr(i, name).where(F.col(column).isin(*wanted)).select(*sorted(every.tables()[name].columns)).collect()) for i in (every, lists, texts))
+        assert whole == a == b and a
+        assert getattr(texts, name).where(~F.col(column).isin(*wanted)).count() == 0
+    made = texts.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in made and texts.size == 80
+    assert index.index_asked(parsed, "simple", [[]]).postings.count() == 0
+
+
+def test_only_places_that_can_count_are_moved(spark):
+    found = spark.createDataFrame([(0, 1, 2, "a", 1, 9, 0, 0.5, list(range(0, 900, 3)), [1])], "query_id long, doc_id long, n int, term string, qtf long, tf long, important_tf long, idf double, positions array<int>, places array<int>")
+    assert rank._match_rows(found, RankConfig()).first()["positions"] == [0, 3, 6, 9, 12, 15, 18]
