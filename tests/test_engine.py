@@ -380,3 +380,15 @@ def test_an_index_of_what_is_asked_reads_texts_and_lists_alike(spark):
 def test_only_places_that_can_count_are_moved(spark):
     found = spark.createDataFrame([(0, 1, 2, "a", 1, 9, 0, 0.5, list(range(0, 900, 3)), [1])], "query_id long, doc_id long, n int, term string, qtf long, tf long, important_tf long, idf double, positions array<int>, places array<int>")
     assert rank._match_rows(found, RankConfig()).first()["positions"] == [0, 3, 6, 9, 12, 15, 18]
+
+
+def test_a_batch_of_pages_is_given_up_before_the_next():
+    before, held = pa.total_allocated_bytes(), []
+
+    def batches():
+        for _ in range(3):
+            held.append(pa.total_allocated_bytes() - before)
+            yield pa.RecordBatch.from_pydict({"doc_id": [1, 2], "content": ["<b>x</b>" + " " * 4_000_000] * 2})
+
+    assert sum(part.num_rows for part in html._read(batches(), "content", ["doc_id"], ("important",))) == 6
+    assert max(held) < 1_000_000
